@@ -28,8 +28,25 @@ def op1_bitplane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.read_ids(spark, path)
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BPE ids of every text by the segment tree, and their decoding."""
+    from brindle.llm import bpe
+
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that says control strings, formatted and read back."""
+    from brindle.llm import template
+
+    said = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return template.read_back(template.format_conversations(turns.unionByName(own)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bitplane": op1_bitplane}
+    return {f.__name__: f for f in (op1_bitplane, op3_bpe, op4_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
