@@ -45,8 +45,15 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template.read_back(template.format_conversations(turns.unionByName(own)))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards by vector bin packing."""
+    from brindle.llm import sharding
+
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bitplane, op3_bpe, op4_chat)}
+    return {f.__name__: f for f in (op1_bitplane, op3_bpe, op4_chat, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
