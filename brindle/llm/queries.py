@@ -52,8 +52,15 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    from brindle.llm import langid
+
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bitplane, op3_bpe, op4_chat, op9_sharding)}
+    return {f.__name__: f for f in (op1_bitplane, op3_bpe, op4_chat, op9_sharding, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
