@@ -59,8 +59,15 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text by consistent weighted sampling."""
+    from brindle.llm import fingerprint
+
+    return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bitplane, op3_bpe, op4_chat, op9_sharding, op10_langid)}
+    return {f.__name__: f for f in (op1_bitplane, op3_bpe, op4_chat, op8_fingerprint, op9_sharding, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
