@@ -30,7 +30,7 @@ def test_documents(spark):
     rows = [(3 * i, " ".join(words[r.zipf(1.3, r.integers(1, 200)) % 300])) for i in range(100)]
     rows[10:13] = [(30, rows[10][1]), (33, rows[10][1]), (36, "")]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, term string").repartition(7)
-    got = {g["doc_id"]: g for g in fingerprint.fingerprint_documents(df, samples=256).collect()}
+    got = {g["doc_id"]: g for g in fingerprint.fingerprint_documents(df).collect()}
     assert len(got) == len(rows)
     want, text = edited(rows), dict(rows)
     error = []
@@ -40,7 +40,7 @@ def test_documents(spark):
         if t and after:
             error += [g["near_edited"] - jaccard(t, want[i]), g["near_next"] - jaccard(t, after)]
     # documents share the hashes, so their errors do not average out
-    assert abs(np.mean(error)) < 0.5 / 256**0.5 and np.std(error) < 1.3 * 0.5 / 256**0.5
+    assert abs(np.mean(error)) < 0.5 / fingerprint.SAMPLES**0.5 and np.std(error) < 1.3 * 0.5 / fingerprint.SAMPLES**0.5
     assert got[30]["fingerprint"] == got[33]["fingerprint"] and got[30]["near_next"] == 1 and text[36] == ""
 
 
