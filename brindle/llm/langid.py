@@ -93,7 +93,7 @@ class Judge:
             return UNKNOWN, 0.0
         if len(self.at) + len(count) > max(self.limit, len(count)):
             self.clear()
-        for w in count.keys() - self.at.keys() if len(count) < len(self.at) else [w for w in count if w not in self.at]:
+        for w in [w for w in count if w not in self.at]:
             k = len(self.at)
             if k == len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
