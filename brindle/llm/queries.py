@@ -59,6 +59,13 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near vectors of equal label among all embeddings."""
+    from brindle.llm import embeddings
+
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents by the chosen-path join."""
     from brindle.llm import minhash
@@ -74,7 +81,7 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bitplane, op3_bpe, op4_chat, op7_minhash, op8_fingerprint, op9_sharding, op10_langid)}
+    return {f.__name__: f for f in (op1_bitplane, op3_bpe, op4_chat, op5_embeddings, op7_minhash, op8_fingerprint, op9_sharding, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
