@@ -66,6 +66,13 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page by wrapper induction."""
+    from brindle.llm import pages
+
+    return pages.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents by the chosen-path join."""
     from brindle.llm import minhash
@@ -81,7 +88,7 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bitplane, op3_bpe, op4_chat, op5_embeddings, op7_minhash, op8_fingerprint, op9_sharding, op10_langid)}
+    return {f.__name__: f for f in (op1_bitplane, op3_bpe, op4_chat, op5_embeddings, op6_pages, op7_minhash, op8_fingerprint, op9_sharding, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
