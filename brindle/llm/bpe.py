@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.encoder import Generations
+from brindle.llm.encoder import Generations, Inseparable, separable
 
 #: The split pattern of byte-level BPE files; fixed by their format.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -58,34 +58,31 @@ def merge_all(symbols: list[int], ranks: dict[tuple[int, int], int], merged: lis
     while (key := tree[1]) != NONE:
         rank, i = divmod(key, size)
         j = after[i]  # the pair's second symbol goes
-        k = after[j]
-        symbols[i], symbols[j] = merged[rank], -1
-        after[i] = k
-        changed = [(i, NONE)]
+        after[i] = k = after[j]
+        symbols[i], symbols[j] = new, _ = merged[rank], -1
+        changed = {}
+        if j < n - 1:
+            changed[size + j] = NONE
         if k < n:
             before[k] = i
-            r = get((symbols[i], symbols[k]))
-            if r is not None:
-                changed = [(i, r * size + i)]
-        if j < n - 1:
-            changed.append((j, NONE))
-        h = before[i]
-        if h >= 0:
-            r = get((symbols[h], symbols[i]))
-            changed.append((h, NONE if r is None else r * size + h))
-        for place, value in changed:
-            at = size + place
-            if tree[at] == value:
-                continue
-            tree[at] = value
-            at >>= 1
-            while at:
-                a, b = tree[2 * at], tree[2 * at + 1]
-                least = a if a < b else b
-                if tree[at] == least:
-                    break
-                tree[at] = least
-                at >>= 1
+            r = get((new, symbols[k]))
+            changed[size + i] = NONE if r is None else r * size + i
+        else:
+            changed[size + i] = NONE
+        if (h := before[i]) >= 0:
+            r = get((symbols[h], new))
+            changed[size + h] = NONE if r is None else r * size + h
+        for at, value in changed.items():
+            if tree[at] != value:
+                tree[at] = value
+                while at > 1:
+                    other = tree[at ^ 1]
+                    if other < value:
+                        value = other
+                    at >>= 1
+                    if tree[at] == value:
+                        break
+                    tree[at] = value
     return [s for s in symbols if s >= 0]
 
 
@@ -112,8 +109,8 @@ class Bpe:
         self.special = special
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.split = regex.compile(SPLIT).findall
-        self.words = Generations(lambda words: map(self.word, words))
-        self.pieces = Generations(lambda pieces: [self.run(" " + p) for p in pieces])
+        self.words = Generations(lambda words: map(self.word, words), 500_000)
+        self.pieces = Generations(self.after_spaces)
 
     def word(self, word: str) -> bytes:
         """Ids of one cut of the split pattern."""
@@ -123,19 +120,33 @@ class Bpe:
         """Ids of a text without special tokens."""
         return b"".join(self.words.look_up(self.split(text)))
 
+    def after_spaces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces with a space before each: cut together, for a cut that begins with a space begins a piece."""
+        cuts = self.split(" " + " ".join(separable(pieces)))
+        out: list[bytes] = []
+        for cut, ids in zip(cuts, self.words.look_up(cuts), strict=True):
+            if cut[0] == " ":
+                out.append(ids)
+            else:
+                out[-1] += ids
+        return out
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text; the special tokens' strings become the special tokens.
 
-        Between single spaces the cuts do not depend on what lies around (see encoder.py),
+        Beside single spaces the cuts do not depend on what lies around (see encoder.py),
         so such texts go piece by piece, and each different piece is cut once.
         """
         if self.at_special and self.at_special.search(text):
             parts = self.at_special.split(text)
             return b"".join(array("I", [self.special[p]]).tobytes() if k % 2 else self.run(p) for k, p in enumerate(parts))
         first, space, rest = text.partition(" ")
-        if not space or "  " in text:
+        if not space or text[-1] == " " or "  " in text:
+            return self.run(text)
+        try:
+            return self.run(first) + b"".join(self.pieces.look_up(rest.split(" ")))
+        except Inseparable:
             return self.run(text)
-        return self.run(first) + b"".join(self.pieces.look_up(rest.split(" ")))
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are not UTF-8 become U+FFFD."""

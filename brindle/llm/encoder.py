@@ -1,9 +1,10 @@
 """Token ids of whole texts from the ``tokenizers`` library, with a cache of pieces.
 
 A byte-level BPE file first cuts a text by a pattern in which a space can only be
-the first character of a cut.  So a cut always falls before a space that follows
-a character other than a space, and the pieces between such spaces can be encoded
-one by one.  Texts with two spaces in a row, or with the special token's string,
+the first character of a cut, or part of a run of white space.  So a cut falls before
+every space that has no white space beside it on either side, or on its left side
+only; pieces between such spaces can be encoded apart.  Texts with two spaces in a row,
+a space at the end, white space right after a space, or the special token's string
 are encoded whole: there the cuts depend on what lies around.
 """
 
@@ -13,8 +14,23 @@ import os
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+
+#: How byte-level vocabularies write a space.
+SPACE = "\u0120"
 #: Pieces held at most in each of the two generations of a cache.
-CACHE = 400_000
+CACHE = 300_000
+
+
+class Inseparable(ValueError):
+    """A piece begins with white space, so what lies before it matters."""
+
+
+def separable(pieces: list[str]) -> list[str]:
+    """The pieces, if none begins with white space.  Others are never cached, so all of them come by here."""
+    if any(p[:1].isspace() for p in pieces):
+        raise Inseparable
+    return pieces
 
 
 class Generations:
@@ -31,7 +47,8 @@ class Generations:
                 self.new.update((k, self.old[k]) for k in found)
                 missing.difference_update(found)
             made = list(missing)
-            self.new.update(zip(made, self.make(made), strict=True))
+            if made:
+                self.new.update(zip(made, self.make(made), strict=True))
         return map(self.new.__getitem__, keys)
 
 
@@ -46,7 +63,16 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache = Generations(lambda pieces: self._ids([" " + p for p in pieces]), cache)
+        self.cache = Generations(self._after_spaces, cache)
+        vocab = self.tokenizer.get_vocab()
+        self.begins = np.zeros(1 + max(vocab.values(), default=0), bool)
+        self.begins[[i for s, i in vocab.items() if s[0] == SPACE]] = True
+
+    def _after_spaces(self, pieces: list[str]) -> list[bytes]:
+        """Encodes pieces in one text, a space before each; only an id that begins with a space begins a piece."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(separable(pieces))], add_special_tokens=False)[0].ids, "<u4")
+        raw, at = ids.tobytes(), (4 * np.flatnonzero(self.begins[ids])).tolist()
+        return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -57,10 +83,13 @@ class PieceEncoder:
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         for text in texts:
             first, space, rest = text.partition(" ")
-            if not space or "  " in text or any(s in text for s in self.special):
+            if not space or text[-1] == " " or "  " in text or any(s in text for s in self.special):
                 yield self.whole(text)
-            else:
+                continue
+            try:
                 yield self.whole(first) + b"".join(self.cache.look_up(rest.split(" ")))
+            except Inseparable:
+                yield self.whole(text)
 
 
 _encoders: dict[str, PieceEncoder] = {}
