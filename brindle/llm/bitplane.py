@@ -180,17 +180,17 @@ def read_ids(spark: SparkSession, path: str, mode: str = "byte") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     @F.udf("long", useArrow=False)
-    def whole_crc(parts: list) -> int:
+    def whole_crc(parts: list | None) -> int:
         total = 0
-        for k, p in enumerate(sorted(parts)):
+        for k, p in enumerate(sorted(parts or [])):
             total = joined_crc(total, p["crc"], 4 * p["n"]) if k else p["crc"]
         return total
 
     chunks = spark.read.schema(CHUNK_DDL).parquet(f"{path}/chunks")
     docs = chunks.mapInArrow(pieces, PIECE_DDL).groupBy("shard", "doc_no").agg(F.max("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n_tokens"), F.count("*").alias("parts"), F.first("crc").alias("crc"), F.collect_list(F.struct("chunk", "crc", "n")).alias("p"))
-    one, many = docs.filter("parts = 1"), docs.filter("parts > 1").withColumn("crc", whole_crc("p"))
+    several = whole_crc(F.when(F.col("parts") > 1, F.col("p")))
     base = spark.read.parquet(f"{path}/index").groupBy("shard").agg(F.first("base").alias("base"))  # one row a shard
-    return one.unionByName(many).join(F.broadcast(base), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", F.col("crc").alias("ids_crc32"))
+    return docs.join(F.broadcast(base), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", F.when(F.col("parts") > 1, several).otherwise(F.col("crc")).alias("ids_crc32"))
 
 
 def span(spark: SparkSession, path: str, start: int, stop: int, mode: str = "byte") -> np.ndarray:

@@ -8,7 +8,7 @@ from brindle.llm import bitplane
 from brindle.llm.encoder import PieceEncoder
 from brindle.llm.queries import tokenizer_file
 
-TEXTS = ["a  b", "a \n b", "\n b\n\n c  d", "x\n <|endoftext|> y", " lead", "trail ", "", " ", "it's 's 'S", "\t a \r\n b", "ab  cd 　 e", "né 你好 🙂 x", None]
+TEXTS = ["a  b", "a \n b", "\n b\n\n c  d", "x\n <|endoftext|> y", " lead", "trail ", "", " ", "it's 's 'S", "\t a \r\n b", "ab  cd 　 e", "né 你好 🙂 x", "a\n \tb", "a\xa0 \n b c", None]
 
 
 def brute(rows):
