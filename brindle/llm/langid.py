@@ -148,19 +148,19 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     Only ``text`` decides.  A null text, or one without letters, is ``und`` with score 0.
     Nothing is shuffled; the model goes to the workers by broadcast, and is bounded by ``fit``.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = [*docs.select(*keep).schema.fields]
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "lang_pred string", "score double"])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value)
         for batch in batches:
-            out = [judge.judge(t.as_py()) for t in batch.column(0)]
-            columns = [*batch.columns[1:], pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())]
+            out = [judge.judge(t.as_py()) for t in batch.column(at)]
+            columns = [*batch.columns[: len(keep)], pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score"])
 
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(judged, ddl)
+    at = keep.index("text") if "text" in keep else len(keep)
+    return docs.select(*keep, *["text"] * (at == len(keep))).mapInArrow(judged, ddl)
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

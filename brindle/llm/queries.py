@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from brindle.storage import scratch_path
 
@@ -28,6 +29,14 @@ def op1_bitplane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.read_ids(spark, path)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated sampling probability and fate of every document."""
+    from brindle.llm import mixing
+
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 9).alias("probability"), F.round("weight", 6).alias("weight"), "sampled")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE ids of every text by the segment tree, and their decoding."""
     from brindle.llm import bpe
@@ -88,8 +97,10 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bitplane, op3_bpe, op4_chat, op5_embeddings, op6_pages, op7_minhash, op8_fingerprint, op9_sharding, op10_langid)}
+    return {f.__name__: f for f in (op1_bitplane, op2_mixing, op3_bpe, op4_chat, op5_embeddings, op6_pages, op7_minhash, op8_fingerprint, op9_sharding, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from brindle.llm import mixing
+
+    return {"op2_mixing": mixing.sql()}
