@@ -9,7 +9,7 @@ r and c from Gamma(2, 1) and b from [0, 1); with weight w
 and the sample is the pair (term, t) of least a.  Two documents agree in a sample with
 the probability of their generalised Jaccard similarity, sum of least weights by sum of
 largest weights (improved consistent weighted sampling).  r and ln c are drawn by
-inverse transform from a table of evenly spaced quantiles.
+inverse transform from tables of evenly spaced quantiles.
 
 Each sample is kept as 32 bits of (term, t); a fingerprint is all of them in hex.
 """
@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from brindle.storage import parallelism
 
 SAMPLES = 32
-#: Quantiles in the table of the gamma distribution (a power of two).
-QUANTILES = 4096
+#: Quantiles in the tables of r and of ln c (powers of two).
+R_TABLE, C_TABLE = 1024, 4096
 
 
 @cache
-def gamma_quantiles(n: int = QUANTILES) -> tuple[float, ...]:
+def gamma_quantiles(n: int = C_TABLE) -> tuple[float, ...]:
     """Gamma(2, 1) at (k + 1/2) / n: the roots of 1 - (1 + x) exp(-x) = q, by bisection."""
     q = (np.arange(n) + 0.5) / n
     lo, hi = np.zeros(n), np.full(n, 60.0)
@@ -43,15 +43,16 @@ def gamma_quantiles(n: int = QUANTILES) -> tuple[float, ...]:
 
 def sample_columns(term: Column, log_weight: Column, samples: int = SAMPLES) -> list[Column]:
     """For each sample a long to take the least of: ln a in the high half, (term, t) in the low half."""
-    table = np.array(gamma_quantiles())
-    r_of, c_of = F.lit(table.tolist()), F.lit(np.log(table).tolist())
-    bits = QUANTILES.bit_length() - 1
+    # one string literal a table, which Spark folds to an array; an array of literals would be thousands of expressions
+    table = lambda xs: F.split(F.lit(",".join(f"{x:.6g}" for x in xs)), ",").cast("array<double>")
+    r_of, c_of = table(gamma_quantiles(R_TABLE)), table(np.log(gamma_quantiles(C_TABLE)))
+    r_bits, c_bits = R_TABLE.bit_length() - 1, C_TABLE.bit_length() - 1
     out = []
     for k in range(samples):
         h = F.xxhash64(term, F.lit(k))
-        r = F.get(r_of, h.bitwiseAND(QUANTILES - 1).cast("int"))
-        log_c = F.get(c_of, F.shiftright(h, bits).bitwiseAND(QUANTILES - 1).cast("int"))
-        b = F.shiftrightunsigned(h, 2 * bits) / float(1 << (64 - 2 * bits))
+        r = F.get(r_of, h.bitwiseAND(R_TABLE - 1).cast("int"))
+        log_c = F.get(c_of, F.shiftright(h, r_bits).bitwiseAND(C_TABLE - 1).cast("int"))
+        b = F.shiftrightunsigned(h, r_bits + c_bits) / float(1 << (64 - r_bits - c_bits))
         t = F.floor(log_weight / r + b)
         log_a = log_c - r * (t - b + 1)
         low = term.bitwiseXOR(t * 2654435769).bitwiseAND(0xFFFFFFFF)
