@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.encoder import encoder
-from brindle.storage import parallelism
+from brindle.storage import parallelism, stored
 
 CHUNK = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int32()), ("doc_no", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int32())), ("planes", pa.list_(pa.binary()))])
 CHUNK_DDL = "shard int, chunk int, first long, n_ids int, doc_no long, doc_ids array<long>, doc_starts array<int>, planes array<binary>"
-PIECE_DDL = "shard int, doc_no long, chunk int, doc_id long, at long, n long, crc long"
+PIECE_DDL = "shard int, doc_no long, chunk int, doc_id long, at long, n long, crc long, whole boolean"
 
 
 def to_planes(ids: np.ndarray, mode: str) -> list[bytes]:
@@ -173,24 +173,27 @@ def read_ids(spark: SparkSession, path: str, mode: str = "byte") -> DataFrame:
                 else:
                     at = c["doc_no"]
                 for k, (doc_id, lo, hi) in enumerate(zip(docs, starts, [*starts[1:], c["n_ids"]], strict=True)):
-                    out.append((c["shard"], at + k, c["chunk"], doc_id, c["first"] + lo, hi - lo, zlib.crc32(raw[4 * lo : 4 * hi])))
+                    # where a block begins and ends, a document may go on in another
+                    whole = (k > 0 or bool(c["doc_starts"]) and c["doc_starts"][0] == 0) and hi < c["n_ids"]
+                    out.append((c["shard"], at + k, c["chunk"], doc_id, c["first"] + lo, hi - lo, zlib.crc32(raw[4 * lo : 4 * hi]), whole))
             if out:
                 names = [f.split()[0] for f in PIECE_DDL.split(", ")]
-                kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * 4]
+                kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     @F.udf("long", useArrow=False)
-    def whole_crc(parts: list | None) -> int:
+    def whole_crc(parts: list) -> int:
         total = 0
-        for k, p in enumerate(sorted(parts or [])):
+        for k, p in enumerate(sorted(parts)):
             total = joined_crc(total, p["crc"], 4 * p["n"]) if k else p["crc"]
         return total
 
     chunks = spark.read.schema(CHUNK_DDL).parquet(f"{path}/chunks")
-    docs = chunks.mapInArrow(pieces, PIECE_DDL).groupBy("shard", "doc_no").agg(F.max("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n_tokens"), F.count("*").alias("parts"), F.first("crc").alias("crc"), F.collect_list(F.struct("chunk", "crc", "n")).alias("p"))
-    several = whole_crc(F.when(F.col("parts") > 1, F.col("p")))
+    found = stored(chunks.mapInArrow(pieces, PIECE_DDL), "pieces")
+    parts = found.filter("NOT whole").groupBy("shard", "doc_no").agg(F.max("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n"), F.collect_list(F.struct("chunk", "crc", "n")).alias("p"))
+    docs = found.filter("whole").select("shard", "doc_id", "at", "n", "crc").unionByName(parts.withColumn("crc", whole_crc("p")).select("shard", "doc_id", "at", "n", "crc"))
     base = spark.read.parquet(f"{path}/index").groupBy("shard").agg(F.first("base").alias("base"))  # one row a shard
-    return docs.join(F.broadcast(base), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", F.when(F.col("parts") > 1, several).otherwise(F.col("crc")).alias("ids_crc32"))
+    return docs.join(F.broadcast(base), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
 
 def span(spark: SparkSession, path: str, start: int, stop: int, mode: str = "byte") -> np.ndarray:

@@ -19,7 +19,7 @@ import numpy as np
 #: How byte-level vocabularies write a space.
 SPACE = "\u0120"
 #: Pieces held at most in each of the two generations of a cache.
-CACHE = 300_000
+CACHE = 450_000
 
 
 class Inseparable(ValueError):
