@@ -274,3 +274,46 @@ def padded(order: DataFrame, elements: DataFrame) -> DataFrame:
     numbered = positions(rows.select("layer", "at", (F.col("elem") == F.col("rep")).alias("own"), "elem"), "layer", "at", "own", "elem", name="all")
     first = numbered.groupBy("layer").agg(F.min("all").alias("first"))
     return numbered.join(F.broadcast(first), "layer").select("layer", (F.col("all") - F.col("first")).alias("pos"), "elem")
+
+
+def tree_measures(tree: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    """For each node: nodes of its tree, the sum of its hop distances, and its largest (G9, G10), in linear time.
+
+    Sums move from a node to its child by (nodes outside the child's subtree) minus (inside);
+    the largest distance is that to one of the two ends of a longest path.
+    """
+    near, seen, out = neighbours(tree), set(), []
+
+    def hops(start: int) -> dict[int, int]:
+        d, level = {start: 0}, [start]
+        while level:
+            level = [y for x in level for y in near[x] if y not in d and not d.update({y: d[x] + 1})]
+        return d
+
+    for root in sorted(near):
+        if root in seen:
+            continue
+        from_root = hops(root)
+        seen |= set(from_root)
+        order = sorted(from_root, key=from_root.get)
+        parent = {y: x for x in order for y in near[x] if from_root[y] == from_root[x] + 1}
+        size = dict.fromkeys(order, 1)
+        for x in reversed(order[1:]):
+            size[parent[x]] += size[x]
+        total = {root: sum(from_root.values())}
+        for x in order[1:]:
+            total[x] = total[parent[x]] + len(order) - 2 * size[x]
+        a = hops(order[-1])
+        b = hops(max(a, key=a.get))
+        out += [(x, len(order), total[x], max(a[x], b[x])) for x in order]
+    return out
+
+
+def centrality(tree: DataFrame) -> DataFrame:
+    """``layer, node, n, total, farthest`` of each layer's trees; closeness is (n - 1) / total."""
+
+    def measure(g: pd.DataFrame) -> pd.DataFrame:
+        rows = tree_measures(list(zip(g["src"].tolist(), g["dst"].tolist(), strict=True)))
+        return pd.DataFrame([(g["layer"].iloc[0], *r) for r in rows], columns=["layer", "node", "n", "total", "farthest"])
+
+    return tree.groupBy("layer").applyInPandas(measure, "layer int, node long, n long, total long, farthest long")

@@ -308,9 +308,9 @@ def _knn(metric):
 knn_l2, knn_l1, knn_hamming = map(_knn, ("l2", "l1", "hamming"))
 
 
-@query(f"WITH {E}, pairs AS ({PAIRS.format(w=W['l2'])}) SELECT src, dst, w FROM pairs WHERE src < dst AND w <= 12000")
+@query(f"WITH {E}, pairs AS ({PAIRS.format(w=W['l2'])}) SELECT src, dst, w FROM pairs WHERE src < dst AND w <= 20000")
 def radius_join(spark, sf):
-    return graph.within(images(spark, sf), 12000).select("src", "dst", "w")
+    return graph.within(images(spark, sf), 20000).select("src", "dst", "w")
 
 
 # edges of the graph of nearest two neighbours; labels spread until nothing changes
@@ -357,6 +357,24 @@ def mst_degree(spark, sf):
     return tree(spark, sf).select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
 
 
+#: Hop distances of all pairs of a tree's nodes.
+HOPS = """two AS (SELECT src AS x, dst AS y FROM mst UNION ALL SELECT dst, src FROM mst),
+hop(x, y, before, d) AS (SELECT DISTINCT x, x, CAST(-1 AS BIGINT), 0 FROM two UNION ALL SELECT hop.x, two.y, hop.y, d + 1 FROM hop JOIN two ON two.x = hop.y WHERE two.y <> hop.before)"""
+
+
+@query(f"WITH RECURSIVE {E}, {MST_SQL}, {HOPS} SELECT x AS node, round((count(*) - 1) / sum(d), 9) AS closeness FROM hop GROUP BY x")
+def closeness(spark, sf):
+    """Closeness centrality on the spanning tree."""
+    rows = graph.centrality(tree(spark, sf).withColumn("layer", F.lit(0)))
+    return rows.select("node", F.round((F.col("n") - 1) / F.col("total"), 9).alias("closeness"))
+
+
+@query(f"WITH RECURSIVE {E}, {MST_SQL}, {HOPS} SELECT CAST(max(d) AS BIGINT) AS diameter, count(*) AS pairs FROM hop")
+def tree_diameter(spark, sf):
+    """Longest path of the spanning tree in hops."""
+    return graph.centrality(tree(spark, sf).withColumn("layer", F.lit(0))).agg(F.max("farthest").alias("diameter"), F.sum("n").alias("pairs"))
+
+
 @query("SELECT count(*) AS n, count(DISTINCT vec_id) AS elements, CAST(0 AS BIGINT) AS child_first FROM embeddings")
 def mst_order_check(spark, sf):
     """The order is a permutation and no element comes before its parent."""
@@ -595,14 +613,14 @@ def quantizer_mse(spark, sf):
     return tabular.lloyd_step(sizes(spark, sf), _A).agg(F.round(F.sum("sq") / F.sum("n"), 6).alias("mse"))
 
 
-@query("SELECT CAST(16 AS BIGINT) AS centroids, true AS better")
+@query("SELECT CAST(16 AS BIGINT) AS centroids, CAST(16 AS BIGINT) AS filled, true AS settled")
 def lloyd_max_run(spark, sf):
-    """The best of several runs has no greater error than evenly spaced centroids."""
+    """The best of several runs has no empty bin, and one more round gains nothing."""
     h = stored(sizes(spark, sf), "histogram")
     a, mse = tabular.best_of(h, 16)
-    low, high = h.agg(F.min("value"), F.max("value")).first()
-    even = tabular.lloyd_step(h, [low + (high - low) * (k + 0.5) / 16 for k in range(16)]).agg(F.sum("sq") / F.sum("n")).first()[0]
-    return spark.createDataFrame([(len(a), bool(mse <= even + 0.35))], "centroids long, better boolean")
+    step = stored(tabular.lloyd_step(h, a), "step")
+    again = tabular.lloyd_step(h, sorted(r["new_a"] for r in step.collect())).agg(F.sum("sq") / F.sum("n")).first()[0]
+    return step.agg(F.lit(len(a)).cast("long").alias("centroids"), F.count("*").alias("filled"), F.lit(bool(mse - again < 1e-5)).alias("settled"))
 
 
 # -- bitmaps
