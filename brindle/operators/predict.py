@@ -17,21 +17,28 @@ from pyspark.sql import functions as F
 from brindle.functions.pixels import clipped, wrapped
 
 
-def gram(features: DataFrame, d: int) -> DataFrame:
-    """Entries of X'X and X'y as exact integers (M2): ``i, j, v``; place d is the constant 1 and d + 1 is y."""
+def gram(features: DataFrame, d: int, *by: str) -> DataFrame:
+    """Entries of X'X and X'y as exact integers (M2): ``by..., i, j, v``; place d is the constant 1 and d + 1 is y."""
     z = F.concat(F.col("x"), F.array(F.lit(1), F.col("y")))
-    sums = features.select(*(z[i].cast("long").alias(f"z{i}") for i in range(d + 2)))
+    sums = features.select(*by, *(z[i].cast("long").alias(f"z{i}") for i in range(d + 2)))
     cells = [(i, j) for i in range(d + 2) for j in range(i, d + 2)]
-    one = sums.agg(*(F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{i}_{j}") for i, j in cells))
-    return one.select(F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.coalesce(F.col(f"s{i}_{j}"), F.lit(0)).alias("v")) for i, j in cells))))
+    one = sums.groupBy(*by).agg(*(F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{i}_{j}") for i, j in cells))
+    return one.select(*by, F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.coalesce(F.col(f"s{i}_{j}"), F.lit(0)).alias("v")) for i, j in cells))))
+
+
+def linear_models(features: DataFrame, d: int, by: str) -> dict[object, list[float]]:
+    """A least-squares model (coefficients, then intercept) for each value of a column of few values (M1)."""
+    sums: dict[object, np.ndarray] = {}
+    for r in gram(features, d, by).collect():  # (d + 2)(d + 3) / 2 rows a value
+        m = sums.setdefault(r[by], np.zeros((d + 2, d + 2)))
+        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["v"]
+    return {k: np.linalg.lstsq(m[: d + 1, : d + 1], m[: d + 1, d + 1], rcond=None)[0].tolist() for k, m in sums.items()}
 
 
 def linear_model(features: DataFrame, d: int) -> list[float]:
     """Least-squares coefficients and intercept, from the sums (minimum norm where they are singular)."""
-    m = np.zeros((d + 2, d + 2))
-    for r in gram(features, d).collect():  # (d + 2)(d + 3) / 2 rows
-        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["v"]
-    return np.linalg.lstsq(m[: d + 1, : d + 1], m[: d + 1, d + 1], rcond=None)[0].tolist()
+    found = linear_models(features.withColumn("_all", F.lit(0)), d, "_all")
+    return found.get(0, [0.0] * (d + 1))
 
 
 def linear(x: Column, model: list[float]) -> Column:

@@ -68,17 +68,17 @@ def valid(rows: int, cols: int, *contexts: str) -> tuple[range, range]:
     return range(max(0, *(-r for r, _ in offsets)), rows - max(0, *(r for r, _ in offsets))), range(max(0, *(-c for _, c in offsets)), cols - max(0, *(c for _, c in offsets)))
 
 
-def features(ordered: DataFrame, rows: int, cols: int, current: str, previous: str, n_previous: int) -> DataFrame:
-    """Context features of every valid pixel (P17): ``pos, r, c, x, y``.
+def features(ordered: DataFrame, rows: int, cols: int, current: str, previous: str, n_previous: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Context features of every valid pixel (P17): ``by..., pos, r, c, x, y``.
 
-    ordered: ``pos, px`` with dense positions.  Previous images come by a join on the position.
+    ordered: ``by..., pos, px`` with dense positions in each group of ``by``.  Previous images come by a join on the position.
     """
     from brindle.operators.order import with_previous
 
-    df = ordered.select("pos", "px")
+    df = ordered.select(*by, "pos", "px")
     held = df
     for a in range(1, n_previous + 1):
-        df = df.join(with_previous(held, ["px"], a).select("pos", f"px_{a}"), "pos")
+        df = df.join(with_previous(held, ["px"], a, "pos", by).select(*by, "pos", f"px_{a}"), [*by, "pos"])
     used = [current] + [previous] * bool(n_previous)
     rs, cs = valid(rows, cols, *used)
     cells = []
@@ -86,7 +86,7 @@ def features(ordered: DataFrame, rows: int, cols: int, current: str, previous: s
         for c in cs:
             x = [F.col("px")[(r + i) * cols + c + j] for i, j in CONTEXTS[current]] + [F.col(f"px_{a}")[(r + i) * cols + c + j] for a in range(1, n_previous + 1) for i, j in CONTEXTS[previous]]
             cells.append(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.array(*x).alias("x"), F.col("px")[r * cols + c].alias("y")))
-    return df.filter(F.col("pos") >= n_previous).select("pos", F.inline(F.array(*cells)))
+    return df.filter(F.col("pos") >= n_previous).select(*by, "pos", F.inline(F.array(*cells)))
 
 
 def border(ordered: DataFrame, rows: int, cols: int, current: str, previous: str, n_previous: int) -> DataFrame:

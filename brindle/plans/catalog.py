@@ -520,6 +520,54 @@ def predict_roundtrip(spark, sf):
     return order.join(back, "pos", "left").agg(F.sum((~F.col("px").eqNullSafe(F.col("back"))).cast("long")).alias("mismatches"), F.count("*").alias("elements"))
 
 
+def channel_contexts(spark, sf) -> DataFrame:
+    """Contexts in the three 4 x 4 planes of the first 48 values, a layer each."""
+    planes = shape.channels(ordered_images(spark, sf), 16).select("layer", "pos", "px")
+    return shape.features(planes, 4, 4, "DAB", "DAB", 1, ("layer",))
+
+
+_RGB = "p AS (SELECT pos, l AS layer, px[l * 16 + 1:l * 16 + 16] AS px FROM o, range(0, 3) t(l)), g AS (SELECT p.layer, [p.px[r * 4 + c], p.px[(r - 1) * 4 + c], p.px[(r - 1) * 4 + c + 1], q.px[r * 4 + c], q.px[(r - 1) * 4 + c], q.px[(r - 1) * 4 + c + 1], 1, p.px[r * 4 + c + 1]] AS z FROM p JOIN p q ON q.layer = p.layer AND q.pos = p.pos - 1, range(1, 4) t1(r), range(1, 4) t2(c))"
+
+
+@query(f"WITH {E}, {ORDER}, {_RGB} SELECT CAST(layer AS INTEGER) AS layer, CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, CAST(sum(CAST(z[i] AS BIGINT) * z[j]) AS BIGINT) AS v FROM g, range(1, 9) t1(i), range(1, 9) t2(j) WHERE i <= j GROUP BY layer, i, j")
+def gram_matrix_channels(spark, sf):
+    """Sums for three models, a channel each (M1)."""
+    return predict.gram(channel_contexts(spark, sf), 6, "layer")
+
+
+@query()
+def predict_triple_errors(spark, sf):
+    """Code size of the errors of three models, a channel each; solver bits differ from SQL's."""
+    f = stored(channel_contexts(spark, sf), "features")
+    value = F.lit(0.0)
+    for layer, model in predict.linear_models(f, 6, "layer").items():
+        value = F.when(F.col("layer") == layer, predict.linear(F.col("x"), model)).otherwise(value)
+    e = predict.errors(f, value).select("layer", F.col("e").alias("symbol"))
+    return codes.bit_total(codes.codebook(codes.frequencies(e, "layer"), "layer"), "layer").select("layer", "n_symbols", "n_values", "n_bits")
+
+
+@query()
+def patch_entropy_by_order(spark, sf):
+    """Entropy over 100 bins of the distances along the tree's order and along a random one, a 4 x 4 patch a row."""
+    from brindle.plans.container import order_elements
+
+    df = stored(shape.patches(images(spark, sf), 8, 4).select("layer", "elem", "px"), "patches")
+    shuffled = positions(df.select("layer", "elem", F.xxhash64("elem", F.lit(42)).alias("h")), "layer", "h", "elem", name="all")
+    first = shuffled.groupBy("layer").agg(F.min("all").alias("first"))
+    orders = {"mst": order_elements(df), "random": shuffled.join(F.broadcast(first), "layer").select("layer", (F.col("all") - F.col("first")).alias("pos"), "elem")}
+    out = None
+    for name, order in orders.items():
+        placed = order.join(df, ["layer", "elem"]).select("layer", "pos", "px")
+        w = stored(with_previous(placed, ["px"], 1, "pos", ("layer",)).filter("pos > 0").select("layer", F.sqrt(P.distance(F.col("px"), F.col("px_1"), "l2")).alias("w")), "distances")
+        ends = w.groupBy("layer").agg(F.min("w").alias("low"), F.max("w").alias("high"), F.count("*").alias("all"))
+        step = F.greatest(F.col("high") - F.col("low"), F.lit(1e-9)) / 100
+        bins = w.join(F.broadcast(ends), "layer").groupBy("layer", "all", F.least(F.lit(99), F.floor((F.col("w") - F.col("low")) / step)).alias("bin")).agg(F.count("*").alias("n"))
+        p = F.col("n") / F.col("all")
+        h = bins.groupBy("layer").agg(F.sum(-p * F.log2(p)).alias(f"{name}_entropy"))
+        out = h if out is None else out.join(h, "layer")
+    return out
+
+
 RULES = [([(0, "<=", 120.0)], [0.5, 0.0, 0.5, 1.0]), ([(2, ">", 118.0)], [1.0, -1.0, 1.0, 0.0]), ([(0, ">", 120.0), (1, "<=", 130.0)], [0.25, 0.25, 0.5, 0.0])]
 
 
