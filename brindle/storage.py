@@ -9,10 +9,27 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> None:
+    """Sends this package's source to the executors, once an application, so that workers can import it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    top = Path(__file__).parent
+    path = f"{tempfile.mkdtemp(prefix='brindle-')}/brindle_source.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(path)
 
 
 def scratch_root(spark: SparkSession) -> str:
