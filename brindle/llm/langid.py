@@ -11,8 +11,9 @@ A word is a maximal run of letters, lower-cased; n-grams see a space at a word's
 
 from __future__ import annotations
 
-import math
+import pickle
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.llm.workers import releasing
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Longest n-gram of the fallback.
 LONGEST = 5
@@ -30,7 +33,7 @@ ROWS = 4000
 #: Words, and n-grams of each length, that the model keeps of a language at most, the most frequent first.
 KEPT = 20_000
 #: Scores of words a worker keeps.
-CACHE = 300_000
+CACHE = 150_000
 UNKNOWN = "und"
 
 
@@ -47,31 +50,43 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequencies: ``tables[0]`` by word, ``tables[n]`` by n-gram; a row has one value a language."""
+    """Log frequencies: ``tables[0]`` numbers words, ``tables[n]`` n-grams; the row of that number in ``values[n]`` has one value a language."""
 
     langs: list[str]
-    tables: list[dict[str, np.ndarray]]
+    tables: list[dict[str, int]]
+    values: list[np.ndarray]
 
     @classmethod
     def of_counts(cls, counts: dict[tuple[str, int], dict[str, int]]) -> Model:
         langs = sorted({lang for lang, _ in counts})
-        tables = []
+        tables, values = [], []
         for n in range(LONGEST + 1):
             each = [counts.get((lang, n), {}) for lang in langs]
             keys = sorted(set().union(*each))
             table = np.array([[c.get(k, 0) for c in each] for k in keys], float).reshape(len(keys), len(langs)) + 0.5
-            tables.append(dict(zip(keys, np.log(table / table.sum(axis=0, keepdims=True)) if keys else table, strict=True)))
-        return cls(langs, tables)
+            tables.append({k: i for i, k in enumerate(keys)})
+            values.append(np.log(table / table.sum(axis=0, keepdims=True)) if keys else table)
+        return cls(langs, tables, values)
+
+    def packed(self) -> bytes:
+        """A compact form for the workers, who unpack it for one task and let it go."""
+        return zlib.compress(pickle.dumps((self.langs, ["\n".join(t) for t in self.tables], self.values)), 1)
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> Model:
+        langs, tables, values = pickle.loads(zlib.decompress(raw))
+        return cls(langs, [{k: i for i, k in enumerate(t.split("\n"))} if t else {} for t in tables], values)
 
     def of_word(self, word: str) -> np.ndarray:
         """The word's scores; none known at any length: no evidence."""
         known = self.tables[0].get(word)
         if known is not None:
-            return known
+            return self.values[0][known]
         for n in range(LONGEST, 0, -1):
-            found = [v for g in grams(word, n) if (v := self.tables[n].get(g)) is not None]
+            table = self.tables[n]
+            found = [i for g in grams(word, n) if (i := table.get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.values[n][found].sum(axis=0) / len(found)
         return np.zeros(len(self.langs))
 
 
@@ -114,7 +129,7 @@ def fit(labelled: DataFrame, rows: int = ROWS, kept: int = KEPT) -> Model:
     labelled = labelled.filter("text IS NOT NULL AND lang IS NOT NULL")
     size = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # as many rows as languages
     if not size:
-        return Model([], [{} for _ in range(LONGEST + 1)])
+        return Model.of_counts({})
     share = F.create_map(*(x for k, n in size.items() for x in (F.lit(k), F.lit(min(1.0, rows / n)))))[F.col("lang")]
     chosen = labelled.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < share * float(1 << 30)).select("text", "lang")
 
@@ -134,7 +149,7 @@ def fit(labelled: DataFrame, rows: int = ROWS, kept: int = KEPT) -> Model:
                 if table:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(table)), pa.array([n] * len(table), pa.int32()), pa.array([*table]), pa.array([*table.values()], pa.int64())], ["lang", "n", "gram", "c"])
 
-    total = chosen.mapInArrow(counted, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
+    total = chosen.mapInArrow(releasing(counted), "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))
     counts: dict[tuple[str, int], dict[str, int]] = defaultdict(dict)
     for r in total.withColumn("k", rank).filter(F.col("k") <= kept).select("lang", "n", "gram", "c").toLocalIterator():  # kept rows a language and length
@@ -148,19 +163,19 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     Only ``text`` decides.  A null text, or one without letters, is ``und`` with score 0.
     Nothing is shuffled; the model goes to the workers by broadcast, and is bounded by ``fit``.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.packed())
     kinds = [*docs.select(*keep).schema.fields]
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "lang_pred string", "score double"])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(shared.value)
+        judge = Judge(Model.unpacked(shared.value))
         for batch in batches:
             out = [judge.judge(t.as_py()) for t in batch.column(at)]
             columns = [*batch.columns[: len(keep)], pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score"])
 
     at = keep.index("text") if "text" in keep else len(keep)
-    return docs.select(*keep, *["text"] * (at == len(keep))).mapInArrow(judged, ddl)
+    return docs.select(*keep, *["text"] * (at == len(keep))).mapInArrow(releasing(judged), ddl)
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
