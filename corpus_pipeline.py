@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from brindle.llm import bpe, langid, minhash, mixing
 from brindle.llm.queries import tokenizer_file
-from brindle.storage import stored
+from brindle.storage import shipped, stored
 
 #: Share of the predicted language from which a document stays.
-SURE = 0.5
+SURE = 0.3
 #: Tokens of the mixture over tokens that come to it.
 BUDGET = 0.6
 
@@ -57,6 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages to the documents, each on what the one before it wrote."""
+    shipped(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
