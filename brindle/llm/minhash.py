@@ -5,18 +5,21 @@ hashes of the set under ``COORDINATES`` functions; two documents share each with
 the probability of their Jaccard similarity.  In each of ``TREES`` independent trees a
 document goes down from the root: at every node some coordinates are chosen (one,
 and a second in a third of the nodes, 4/3 = 1/threshold on average), and the document
-branches by its tokens there.  What meets in a small node is compared exhaustively by
-the sketches; a large node compares all with one centre and branches on.  Pairs
-that look similar become links only by an exact comparison of the full sets.
+branches by its tokens there.  What meets in a small node is compared exhaustively by the
+sketches; a large node branches on.  Pairs that look similar become links only by an
+exact comparison of the full sets.
 
 Work is kept from growing with the square of a group:
 
 * documents with equal sets are one document from the start;
-* of all candidate pairs only those are confirmed that still join two components:
-  first the best of each document, then the best of each component, then the rest;
-* a large node whose documents are one component by then is done; the others
-  branch on.  In large nodes at the last depth only documents outside the largest
-  component are compared with the node, so no pair within a component is.
+* in every node all documents are first compared with one centre only, and a node
+  whose documents are one component by then is done;
+* of those pairs, the best of each component is confirmed; what the others would join is
+  found in the nodes;
+* in small nodes the documents that look similar to one of another component are compared
+  by their full sets there, and only a forest of their links goes on;
+* in large nodes at the last depth, only documents outside the largest component are
+  compared with the others, by their full sets, in blocks.
 """
 
 from __future__ import annotations
@@ -25,9 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.workers import releasing
 from brindle.operators.components import connected_components
 from brindle.storage import stored
 
@@ -35,14 +39,14 @@ WORDS = 5
 #: Similarity of a link: 100 * intersection >= 75 * union.
 NEAR = 75
 COORDINATES = 128
-#: A pair at the threshold misses all trees with probability 2e-9 at depth 1, 2e-5 at depth 3 (see ``miss``).
+#: A pair at the threshold misses all trees with probability 2e-9 at depth 1, 8e-7 at depth 2 (see ``miss``).
 TREES = 12
-DEPTH = 3
+DEPTH = 2
 #: Documents of a node that is compared exhaustively.
-SMALL = 64
+SMALL = 256
 #: Sketch similarity (in 128ths) from which a pair is confirmed: 0.75 less four standard deviations.
 SKETCH = 77
-#: Strays that are compared with a large node at once.
+#: Strays of a block, about, and members of a large node that they are compared with at once.
 STRAYS = 256
 
 _M = (1 << 64) - 1
@@ -167,35 +171,113 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray,
         yield path, np.array(nodes), np.array(comps), np.frombuffer(b"".join(sketches), "<u2").reshape(len(nodes), COORDINATES)
 
 
-def _pairs(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    a, b, alike = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(alike, pa.int32())], ["a", "b", "alike"])
-
-
-def _exhaustive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out: list[tuple[int, int, int]] = []
-    for _, nodes, comps, s in _runs(batches):
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents that look similar to one of another component in their node: (path, node, comp)."""
+    out: list[list] = [[], [], []]
+    for path, nodes, comps, s in _runs(batches):
+        some = np.zeros(len(nodes), bool)
         for i in range(len(nodes) - 1):
-            alike = (s[i + 1 :] == s[i]).sum(axis=1)
-            for j in np.flatnonzero((alike >= SKETCH) & (comps[i + 1 :] != comps[i])):
-                x, y = int(nodes[i]), int(nodes[i + 1 + j])
-                out.append((min(x, y), max(x, y), int(alike[j])))
-        if len(out) > 50_000:
-            yield _pairs(out)
-            out = []
-    if out:
-        yield _pairs(out)
+            near = ((s[i + 1 :] == s[i]).sum(axis=1) >= SKETCH) & (comps[i + 1 :] != comps[i])
+            some[i + 1 :] |= near
+            some[i] |= near.any()
+        out[0] += [path] * int(some.sum())
+        out[1] += nodes[some].tolist()
+        out[2] += comps[some].tolist()
+        if len(out[0]) > 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["path", "node", "comp"])
+            out = [[], [], []]
+    if out[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["path", "node", "comp"])
+
+
+def intersections(sets: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of sets: products of their incidence matrix, ``chunk`` columns at a time."""
+    out = np.zeros((len(sets), len(sets)))
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = np.bincount(column, minlength=len(values)) > 1
+    row, column = row[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for lo in range(0, int(shared.sum()), chunk):
+        a, b = np.searchsorted(column, [lo, lo + chunk])
+        m = np.zeros((len(sets), chunk), np.float32)
+        m[row[a:b], column[a:b] - lo] = 1
+        out += m @ m.T
+    return out
+
+
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (path, node, comp, set) sorted by path: edges that join what the links of each node join across components."""
+
+    def close() -> None:
+        if len(held) < 2:
+            return
+        nodes, comps = np.array([h[0] for h in held]), [h[1] for h in held]
+        sets = [np.frombuffer(h[2], "<u8") for h in held]
+        size = np.array([len(s) for s in sets])
+        both = intersections(sets)
+        links = 100 * both >= NEAR * (size[:, None] + size[None, :] - both)
+        label = np.arange(len(held))
+        while True:
+            new = np.minimum(label, np.where(links, label[None, :], len(held)).min(axis=1))
+            if (new == label).all():
+                break
+            label = new
+        for k, top in enumerate(label.tolist()):
+            if comps[k] != comps[top]:
+                out[0].append(int(nodes[k]))
+                out[1].append(int(nodes[top]))
+
+    now, held, out = None, [], [[], []]
+    for batch in batches:
+        for path, node, comp, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            if path != now:
+                close()
+                held = []
+            now = path
+            held.append((node, comp, s.as_py()))
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["src", "dst"])
+            out[0].clear(), out[1].clear()
+    close()
+    if out[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["src", "dst"])
 
 
 def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (node, comp, sketch, others, their comps, their sketches): pairs of different components."""
+    """Rows (path, block, member, node, comp, set), strays of a block before the node's members: a link for each stray and component it meets."""
+    now, strays, members, met = None, [], [], set()
+    out: list[list[int]] = [[], []]
+
+    def compare() -> None:
+        if not strays or not members:
+            return
+        sets = [np.frombuffer(x[2], "<u8") for x in (*strays, *members)]
+        size, n = np.array([len(s) for s in sets]), len(strays)
+        both = intersections(sets)[:n, n:]
+        for i, j in zip(*np.nonzero(100 * both >= NEAR * (size[:n, None] + size[None, n:] - both)), strict=True):
+            (a, ca, _), (b, cb, _) = strays[i], members[j]
+            if ca != cb and (a, cb) not in met:
+                met.add((a, cb))
+                out[0].append(a)
+                out[1].append(b)
+
     for batch in batches:
-        out = []
-        for node, comp, s, others, theirs, sketches in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-            alike = (np.frombuffer(b"".join(sketches), "<u2").reshape(-1, COORDINATES) == np.frombuffer(s, "<u2")).sum(axis=1)
-            out += [(min(node, others[j]), max(node, others[j]), int(alike[j])) for j in np.flatnonzero((alike >= SKETCH) & (np.array(theirs) != comp))]
-        if out:
-            yield _pairs(out)
+        for *key, member, node, comp, s in zip(*(batch.column(k).to_pylist() for k in range(5)), batch.column(5), strict=True):
+            if key != now:
+                compare()
+                now, strays, members, met = key, [], [], set()
+            (members if member else strays).append((node, comp, s.as_py()))
+            if len(members) >= STRAYS:
+                compare()
+                members = []
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["src", "dst"])
+            out = [[], []]
+    compare()
+    if out[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["src", "dst"])
 
 
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,12 +293,12 @@ def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         src, dst = [], []
-        for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+        for a, b, x, y in zip(*(batch.column(k) for k in range(4)), strict=True):
+            x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
             both = len(np.intersect1d(x, y, assume_unique=True))
             if 100 * both >= NEAR * (len(x) + len(y) - both):
-                src.append(a)
-                dst.append(b)
+                src.append(a.as_py())
+                dst.append(b.as_py())
         yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
 
@@ -224,9 +306,8 @@ class _Join:
     """The state of one run: documents of different sets (nodes), their sketches, components and links."""
 
     def __init__(self, docs: DataFrame):
-        self.spark = docs.sparkSession
         self.docs = docs
-        rows = docs.mapInArrow(_features, _FEATURES).withColumn("row", F.monotonically_increasing_id())
+        rows = docs.mapInArrow(releasing(_features), _FEATURES).withColumn("row", F.monotonically_increasing_id())
         self.rows = stored(rows, "features")
         own = self.rows.filter("n_shingles > 0").groupBy("key1", "key2").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"))
         own = own.select(F.col("row").alias("node"), "least_id")
@@ -235,7 +316,6 @@ class _Join:
         self.links: DataFrame | None = None
         self.comps: DataFrame | None = None
         self.sets: DataFrame | None = None
-        self.held: DataFrame | None = None
 
     def with_comp(self, df: DataFrame, node: str = "node", name: str = "comp") -> DataFrame:
         if self.comps is None:
@@ -243,85 +323,102 @@ class _Join:
         return df.join(self.comps.toDF(node, "_label"), node, "left").withColumn(name, F.coalesce("_label", node)).drop("_label")
 
     def take(self, candidates: DataFrame) -> None:
-        """Confirms candidates (a, b, alike) until none is left that would join two components."""
-        left = stored(candidates.groupBy("a", "b").agg(F.max("alike").alias("alike")), "candidates")
+        """Of candidates (a, b, alike) that join two components, confirms the best of each component.
+
+        What is left comes again from its tree nodes, as they stay mixed.
+        """
+        left = stored(self.with_comp(self.with_comp(candidates, "a", "ca"), "b", "cb").filter("ca <> cb"), "open")
         if left.isEmpty():
             return
-        self.gather_sets(left)
-        for chosen in (1, 4, None):
-            ends = self.with_comp(self.with_comp(left, "a", "ca"), "b", "cb").filter("ca <> cb")
-            left = stored(ends, "open")
-            if left.isEmpty():
-                return
-            if chosen:
-                both = left.select("a", "b", "alike", F.explode(F.array("ca", "cb")).alias("c"))
-                # the best few of each component by an aggregate, so that no component is gathered in one task
-                best = both.groupBy("c").agg(F.reverse(F.array_sort(F.array_distinct(_top(chosen)))).alias("best")) if chosen > 1 else both.groupBy("c").agg(F.array(F.max(F.struct("alike", "a", "b"))).alias("best"))
-                picked = best.select(F.inline("best")).select("a", "b").distinct()
-            else:
-                picked = left.select("a", "b")
-            picked = stored(picked, "picked")
-            found = stored(self.confirm(picked), "links")
-            self.links = found if self.links is None else self.links.unionByName(found)
-            self.comps = stored(connected_components(self.links), "components")
-            left = left.join(picked, ["a", "b"], "left_anti").select("a", "b", "alike")
-
-    def gather_sets(self, pairs: DataFrame) -> None:
-        """Writes the full sets of the documents in pairs that are not there yet."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        # the best of each component by an aggregate, so that no component is gathered in one task
+        both = left.select("a", "b", "alike", F.explode(F.array("ca", "cb")).alias("c"))
+        picked = stored(both.groupBy("c").agg(F.max(F.struct("alike", "a", "b")).alias("m")).select("m.a", "m.b").distinct(), "picked")
+        self.gather_sets(picked.select(F.explode(F.array("a", "b")).alias("node")))
+        self.link(self.confirm(picked))
+
+    def link(self, edges: DataFrame) -> None:
+        edges = stored(edges, "links")
+        self.links = edges if self.links is None else self.links.unionByName(edges)
+        self.comps = stored(connected_components(self.links), "components")
+
+    def settle(self, small: DataFrame, large: DataFrame) -> None:
+        """Compares small nodes (path, node, comp, sketch) exhaustively: by sketch, then the documents that are left by their full sets.
+
+        The sets of the documents of large nodes, which deeper levels need, are gathered along.
+        """
+        near = small.repartition("path").sortWithinPartitions("path").select("path", "node", "comp", "sketch").mapInArrow(_candidates, "path long, node long, comp long")
+        near = stored(near, "near")
+        self.gather_sets(near.select("node").unionByName(large.select("node")))
+        if near.isEmpty():
+            return
+        rows = near.join(self.sets, "node").select("path", "node", "comp", "s").repartition("path").sortWithinPartitions("path")
+        self.link(rows.mapInArrow(releasing(_exact), "src long, dst long"))
+
+    def gather_sets(self, wanted: DataFrame) -> None:
+        """Writes the full sets of documents (node) that are not there yet."""
+        wanted = wanted.distinct()
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
-        wanted = self.nodes.select("node", "doc_id", "key1", "key2").join(wanted, "node")
+        wanted = stored(self.nodes.select("node", "doc_id", "key1").join(wanted, "node"), "wanted")
+        if wanted.isEmpty():
+            return
 
         def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import xxhash
 
             for batch in batches:
-                node, out = [], []
-                for n, k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    raw = shingles(text.as_py()).tobytes()
-                    if int.from_bytes(xxhash.xxh3_128_digest(raw)[:8], "little", signed=True) == k:
-                        node.append(n)
-                        out.append(raw)
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(out, pa.binary())], ["node", "s"])
-
-        new = self.docs.withColumnRenamed("doc_id", "id").join(wanted, F.col("id").eqNullSafe(F.col("doc_id"))).select("node", "key1", "text").mapInArrow(full, "node long, s binary")
-        new = stored(new.dropDuplicates(["node"]), "sets")
+                for lo in range(0, batch.num_rows, 1000):
+                    part, node, out = batch.slice(lo, 1000), [], []
+                    for n, k, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
+                        raw = shingles(text.as_py()).tobytes()
+                        if int.from_bytes(xxhash.xxh3_128_digest(raw)[:8], "little", signed=True) == k:
+                            node.append(n)
+                            out.append(raw)
+                    yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(out, pa.binary())], ["node", "s"])
+
+        texts = self.docs.withColumnRenamed("doc_id", "id").join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")))
+        new = stored(texts.select("node", "key1", "text").mapInArrow(releasing(full), "node long, s binary"), "sets")
+        if new.count() > wanted.count():  # rows of one doc_id and text
+            new = stored(new.dropDuplicates(["node"]), "sets")
         self.sets = new if self.sets is None else self.sets.unionByName(new)
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         a, b = self.sets.toDF("a", "x"), self.sets.toDF("b", "y")
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_confirmed, "src long, dst long")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(releasing(_confirmed), "src long, dst long")
 
     def run(self) -> None:
         paths = self.nodes.select(F.explode("paths").alias("path"), "node")
         for depth in range(1, DEPTH + 1):
             paths = stored(self.with_comp(paths), "paths")
-            size = paths.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("centre"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
-            size = stored(size.filter("n > 1 AND c1 <> c2").select("path", "n", "centre"), "sizes")
-            small = paths.join(size.filter(F.col("n") <= SMALL).select("path"), "path")
-            rows = small.join(self.nodes.select("node", "sketch"), "node").select("path", "node", "comp", "sketch")
-            near = rows.repartition("path").sortWithinPartitions("path").mapInArrow(_exhaustive, "a long, b long, alike int")
-            large = stored(paths.join(size.filter(F.col("n") > SMALL), "path").select("path", "node", "comp", "centre"), "large")
-            star = large.filter("node <> centre").select("node", "centre").distinct()
-            near = near.unionByName(self.compared(star))
-            self.take(near)
+            size = paths.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.min(F.struct(F.xxhash64("node", "path").alias("h"), "node")).alias("any"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+            # small nodes of a group mostly have one centre, so few pairs; large nodes have different ones, so that most documents meet one that is near
+            size = size.filter("n > 1 AND c1 <> c2").select("path", "n", F.when(F.col("n") > SMALL, F.col("any.node")).otherwise(F.col("least")).alias("centre"))
+            rest = stored(paths.join(size, "path"), "met")
+            self.take(self.compared(rest.filter("node <> centre").select("node", "centre")))
+            rest = self.mixed(rest)
+            small = rest.filter(F.col("n") <= SMALL).select("path", "node", "comp").join(self.nodes.select("node", "sketch"), "node")
+            large = rest.filter(F.col("n") > SMALL)
+            self.settle(small, large)
             if large.isEmpty():
                 return
-            # nodes that are one component by now are done
-            rest = self.with_comp(large.select("path", "node"))
-            mixed = rest.groupBy("path").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("path")
-            rest = stored(rest.join(mixed, "path"), "rest")
-            if rest.isEmpty():
+            large = self.mixed(large)
+            if large.isEmpty():
                 return
             if depth < DEPTH:
-                paths = rest.join(self.nodes.select("node", "sketch"), "node").select("path", "node", "sketch").mapInArrow(_branch, "path long, node long").distinct()
+                paths = large.join(self.nodes.select("node", "sketch"), "node").select("path", "node", "sketch").mapInArrow(_branch, "path long, node long").distinct()
             else:
-                self.take(self.strays(rest))
+                self.strays(large)
+
+    def mixed(self, met: DataFrame) -> DataFrame:
+        """Rows (path, node, n, comp) of the tree nodes that are not one component yet."""
+        now = self.with_comp(met.select("path", "node", "n"))
+        several = now.groupBy("path").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("path")
+        return stored(now.join(several, "path"), "mixed")
 
     def compared(self, pairs: DataFrame) -> DataFrame:
-        """Sketch similarity of (node, centre) pairs, those near enough."""
+        """Sketch similarity of different (node, centre) pairs, those near enough."""
         sketch = self.nodes.select("node", "sketch")
+        pairs = pairs.repartition("node").dropDuplicates(["node", "centre"])
         rows = pairs.join(sketch, "node").join(sketch.toDF("centre", "other"), "centre")
 
         def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,20 +432,17 @@ class _Join:
 
         return rows.select("node", "centre", "sketch", "other").mapInArrow(alike, "a long, b long, alike int")
 
-    def strays(self, rest: DataFrame) -> DataFrame:
-        """Large nodes at the last depth: all documents outside a node's largest component, in blocks, against the node."""
+    def strays(self, rest: DataFrame) -> None:
+        """Large nodes at the last depth: all documents outside a node's largest component, in blocks, against the node by their full sets."""
+        self.gather_sets(rest.select("node"))
         counts = rest.groupBy("path", "comp").agg(F.count("*").alias("n")).groupBy("path").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("n"))
         main = counts.select("path", F.col("m.comp").alias("main"), (1 + F.floor((F.col("n") - F.col("m.n")) / STRAYS)).alias("blocks"))
-        rows = rest.join(main, "path").join(self.nodes.select("node", "sketch"), "node")
-        stray = rows.filter("comp <> main").groupBy("path", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
-        stray = stray.agg(F.collect_list("node").alias("others"), F.collect_list("comp").alias("theirs"), F.collect_list("sketch").alias("sketches")).drop("block")
-        return rows.join(stray, "path").select("node", "comp", "sketch", "others", "theirs", "sketches").mapInArrow(_against, "a long, b long, alike int")
-
-
-def _top(n: int) -> F.Column:
-    """The n largest (alike, a, b) of a group, by n nested maxima over hashed parts: mergeable and of fixed size."""
-    part = F.pmod(F.xxhash64("a", "b"), F.lit(n))
-    return F.array_compact(F.array(*(F.max(F.when(part == k, F.struct("alike", "a", "b"))) for k in range(n))))
+        rows = rest.select("path", "node", "comp").join(main, "path").join(self.sets, "node")
+        own = F.when(F.col("comp") != F.col("main"), F.struct(F.pmod(F.xxhash64("node"), "blocks").alias("block"), F.lit(0).alias("member")))
+        places = F.array_compact(F.concat(F.array(own), F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(k.alias("block"), F.lit(1).alias("member")))))
+        dealt = rows.select("path", F.inline(places), "node", "comp", "s")
+        dealt = dealt.repartition("path", "block").sortWithinPartitions("path", "block", "member", "node")
+        self.link(dealt.mapInArrow(releasing(_against), "src long, dst long"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -71,3 +71,24 @@ def test_planted_groups(spark, small, monkeypatch):
 
 def test_empty(spark):
     assert found(spark.createDataFrame([], "doc_id long, text string")) == []
+
+
+def test_intersections():
+    r = np.random.default_rng(6)
+    sets = [np.unique(r.integers(0, 400, r.integers(1, 200)).astype(np.uint64)) for _ in range(30)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    got = minhash.intersections(sets, chunk=64)
+    assert all(got[i][j] == want[i][j] for i in range(30) for j in range(30) if i != j)
+
+
+def test_group_around_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", 30)
+    r = np.random.default_rng(9)
+    base = [f"w{k}" for k in range(140)]
+    rows = []
+    for k in range(150):
+        t = list(base)
+        for _ in range(int(r.integers(1, 9))):
+            t[int(r.integers(0, len(t)))] = f"x{r.integers(0, 10**6)}"
+        rows.append((k, " ".join(t)))
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)) == brute(rows)
