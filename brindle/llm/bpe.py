@@ -21,9 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.encoder import Generations, Inseparable, separable
+from brindle.llm.workers import releasing
 
 #: The split pattern of byte-level BPE files; fixed by their format.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Words, and pieces between spaces, in each of the two generations of their caches; workers live on from stage to stage.
+CACHE = 120_000
 #: No pair.
 NONE = 1 << 60
 
@@ -109,8 +112,8 @@ class Bpe:
         self.special = special
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.split = regex.compile(SPLIT).findall
-        self.words = Generations(lambda words: map(self.word, words), 500_000)
-        self.pieces = Generations(self.after_spaces)
+        self.words = Generations(lambda words: map(self.word, words), CACHE)
+        self.pieces = Generations(self.after_spaces, CACHE)
 
     def word(self, word: str) -> bytes:
         """Ids of one cut of the split pattern."""
@@ -188,4 +191,4 @@ def encode_documents(docs: DataFrame, tokenizer: str, ids: bool = False) -> Data
                     rows[4].append(array("i", raw).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(releasing(encode), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
