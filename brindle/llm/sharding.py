@@ -66,9 +66,9 @@ def shard_documents(docs: DataFrame, shards: int = 16, block: int = BLOCK) -> Da
     total = groups.agg(*(F.coalesce(F.sum(d), F.lit(0)).alias(d) for d in dims), F.count("*").alias("groups")).first()
     blocks = 1 + total["groups"] // block
     # pieces of a group: as many as its largest share needs; groups of several pieces are
-    # at most 3 * shards * PARTS * blocks, and Spark broadcasts them only if they are small
+    # at most 3 * shards * PARTS * blocks; written, so that Spark knows their size and broadcasts them only if it is small
     pieces = F.ceil(F.greatest(*(F.col(d) / max(1, total[d]) for d in dims)) * (shards * PARTS * blocks))
-    large = groups.select(F.col("h").alias("large_h"), pieces.alias("pieces")).filter("pieces > 1")
+    large = stored(groups.select(F.col("h").alias("large_h"), pieces.alias("pieces")).filter("pieces > 1"), "large")
     dealt = rows.join(large, F.col("h") == F.col("large_h"), "left").drop("large_h")
     dealt = dealt.withColumn("piece", F.coalesce(F.pmod(F.xxhash64("row"), "pieces"), F.lit(0))).drop("pieces")
     items = dealt.groupBy("h", "piece").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
