@@ -8,16 +8,15 @@ r and c from Gamma(2, 1) and b from [0, 1); with weight w
 
 and the sample is the pair (term, t) of least a.  Two documents agree in a sample with
 the probability of their generalised Jaccard similarity, sum of least weights by sum of
-largest weights (improved consistent weighted sampling).  r and ln c are drawn by
-inverse transform from tables of evenly spaced quantiles.
+largest weights (improved consistent weighted sampling).  r and c are -ln(u1 u2), with
+each u 52 bits of a hash of its own, so the least c of a text is drawn truly however many
+terms it has.
 
 Each sample is kept as 32 bits of (term, t); a fingerprint is all of them in hex.
 """
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,13 +24,10 @@ from pyspark.sql import functions as F
 from brindle.storage import parallelism
 
 SAMPLES = 32
-#: Quantiles in the tables of r and of ln c (powers of two).
-R_TABLE, C_TABLE = 1024, 4096
 
 
-@cache
-def gamma_quantiles(n: int = C_TABLE) -> tuple[float, ...]:
-    """Gamma(2, 1) at (k + 1/2) / n: the roots of 1 - (1 + x) exp(-x) = q, by bisection."""
+def gamma_quantiles(n: int = 4096) -> tuple[float, ...]:
+    """Gamma(2, 1) at (k + 1/2) / n: the roots of 1 - (1 + x) exp(-x) = q, by bisection.  Tests hold the draws to it."""
     q = (np.arange(n) + 0.5) / n
     lo, hi = np.zeros(n), np.full(n, 60.0)
     for _ in range(80):
@@ -41,21 +37,21 @@ def gamma_quantiles(n: int = C_TABLE) -> tuple[float, ...]:
     return tuple(((lo + hi) / 2).tolist())
 
 
+def draws(term: Column, k: int) -> tuple[Column, Column, Column]:
+    """r and c from Gamma(2, 1) and b from (0, 1) for sample k."""
+    # 52 bits and a half: never 0 and never 1, so r and c are above 0
+    u = [(F.shiftrightunsigned(F.xxhash64(term, F.lit(5 * k + j)), 12) + 0.5) * 2.0**-52 for j in range(5)]
+    return -F.log(u[0] * u[1]), -F.log(u[2] * u[3]), u[4]
+
+
 def sample_columns(term: Column, log_weight: Column, samples: int = SAMPLES) -> list[Column]:
     """For each sample a long to take the least of: ln a in the high half, (term, t) in the low half."""
-    # one string literal a table, which Spark folds to an array; an array of literals would be thousands of expressions
-    table = lambda xs: F.split(F.lit(",".join(f"{x:.6g}" for x in xs)), ",").cast("array<double>")
-    r_of, c_of = table(gamma_quantiles(R_TABLE)), table(np.log(gamma_quantiles(C_TABLE)))
-    r_bits, c_bits = R_TABLE.bit_length() - 1, C_TABLE.bit_length() - 1
     out = []
     for k in range(samples):
-        h = F.xxhash64(term, F.lit(k))
-        r = F.get(r_of, h.bitwiseAND(R_TABLE - 1).cast("int"))
-        log_c = F.get(c_of, F.shiftright(h, r_bits).bitwiseAND(C_TABLE - 1).cast("int"))
-        b = F.shiftrightunsigned(h, r_bits + c_bits) / float(1 << (64 - r_bits - c_bits))
+        r, c, b = draws(term, k)
         t = F.floor(log_weight / r + b)
-        log_a = log_c - r * (t - b + 1)
-        low = term.bitwiseXOR(t * 2654435769).bitwiseAND(0xFFFFFFFF)
+        log_a = F.log(c) - r * (t - b + 1)
+        low = term.bitwiseXOR(t.bitwiseAND(0x7FFFFFFF) * 2654435769).bitwiseAND(0xFFFFFFFF)
         out.append(F.shiftleft(((log_a + 1024) * float(1 << 20)).cast("long"), 32).bitwiseOR(low))
     return out
 

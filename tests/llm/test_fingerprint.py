@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from brindle.llm import fingerprint
 
@@ -53,3 +54,23 @@ def test_odd_tables(spark):
     got = fingerprint.fingerprint_documents(spark.createDataFrame(rows, schema)).collect()
     assert sorted(g["n_chars"] for g in got) == [0, 3, 3, 7, 80000]
     assert all(0 <= g["near_edited"] <= 1 and 0 <= g["near_next"] <= 1 for g in got)
+
+
+def test_draws_are_gamma(spark):
+    r, c, b = np.array(spark.range(200_000).select(*fingerprint.draws(F.xxhash64("id"), 3)).collect()).T
+    want = np.array(fingerprint.gamma_quantiles())
+    at = (np.arange(len(want)) + 0.5) / len(want)
+    for x in (r, c):
+        assert abs(np.searchsorted(np.sort(x), want) / len(x) - at).max() < 0.005 and len(np.unique(x)) > 199_000
+    assert c.min() < 0.01 and abs(np.corrcoef([r, c, b]) - np.eye(3)).max() < 0.01
+
+
+def test_many_terms_are_sampled_by_weight(spark):
+    # one term has 30 % of the weight of 100,001 distinct ones
+    terms = spark.range(100_001).select("id", F.xxhash64("id").alias("term"), F.log(F.when(F.col("id") == 0, 42_857.0).otherwise(1.0)).alias("lw")).cache()
+    columns, chosen = fingerprint.sample_columns(F.col("term"), F.col("lw"), 256), 0
+    for k in range(0, 256, 32):
+        least = terms.agg(*(F.min(c) for c in columns[k : k + 32])).first()
+        own = terms.filter("id = 0").select(*columns[k : k + 32]).first()
+        chosen += sum(x == y for x, y in zip(least, own, strict=True))
+    assert abs(chosen / 256 - 0.3) < 0.09
