@@ -60,3 +60,10 @@ def test_odd_rows(spark):
     got = pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string"), 2).collect()
     assert sorted(r["n_chars"] for r in got) == [0, 0, 1, 1, 1, 249999]
     assert pages.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_deep_pages():
+    deep = "<div id=page><article>" + "<div>" * 200 + "{}" + "</div>" * 200 + "<p>tail</p></article></div>"
+    assert pages.extract([deep.format("")]) == ["tail"]
+    assert pages.extract([deep.format("<nav>menu</nav><p>text</p><div class=ad>buy</div>")]) == ["text\ntail"]
+    assert pages.extract(["<i>" * 50000 + "<p>a" + "</u>" * 50000 + "</i>" * 50000 + "<p>b"] * 3) == ["a\nb"] * 3
