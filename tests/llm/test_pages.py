@@ -67,3 +67,15 @@ def test_deep_pages():
     assert pages.extract([deep.format("")]) == ["tail"]
     assert pages.extract([deep.format("<nav>menu</nav><p>text</p><div class=ad>buy</div>")]) == ["text\ntail"]
     assert pages.extract(["<i>" * 50000 + "<p>a" + "</u>" * 50000 + "</i>" * 50000 + "<p>b"] * 3) == ["a\nb"] * 3
+
+
+@pytest.mark.parametrize("odd", ["", "just text", "<table><tr><td>x</table>"])
+def test_an_odd_first_page_does_not_switch_induction_off(odd):
+    page = "<div>Site name</div><div><p>About {0}</p></div><div>All rights reserved</div>"
+    assert pages.extract([odd] + [page.format(k) for k in range(4)])[1:] == [f"About {k}" for k in range(4)]
+
+
+def test_slots_missing_from_the_reference():
+    page = "<div><p>About {0}</p></div>{1}"
+    parts = ["<section>Our prizes</section>", "<table><tr><td>Our shops</table>", "<blockquote>Our words</blockquote>"]
+    assert pages.extract([page.format(k, parts[k % 3]) for k in range(12)]) == [f"About {k}" for k in range(12)]
