@@ -38,3 +38,16 @@ def test_empty_and_single(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert sharding.shard_documents(none).count() == 0
     assert [(g["size"], g["slot"]) for g in sharding.shard_documents(spark.createDataFrame([(1, None)], none.schema)).collect()] == [(1, 0)]
+
+
+@pytest.mark.parametrize("block", [40_000, 300])
+def test_a_group_that_a_shard_can_take_stays_whole(spark, block):
+    rows = [(i, f"text {i:04} of its own") for i in range(4000)] + [(4000 + i, f"copy {i % 4:04} of its own") for i in range(800)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
+    load, homes = Counter(), defaultdict(set)
+    for g in got:
+        load[g["shard"]] += g["size"]
+        if g["doc_id"] >= 4000:
+            homes[g["doc_id"] % 4].add(g["shard"])
+    assert [len(homes[k]) for k in range(4)] == [1] * 4
+    assert len(got) == len(rows) and max(load.values()) / (sum(load.values()) / 16) < 1.02
