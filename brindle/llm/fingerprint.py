@@ -56,12 +56,22 @@ def sample_columns(term: Column, log_weight: Column, samples: int = SAMPLES) ->
     return out
 
 
-def _by_bounds(x: Column, bounds: list, at: int = 0) -> Column:
-    """The number of bounds that are not above x, by halving."""
-    if not bounds:
-        return F.lit(at)
-    m = len(bounds) // 2
-    return F.when(x < bounds[m], _by_bounds(x, bounds[:m], at)).otherwise(_by_bounds(x, bounds[m + 1 :], at + m + 1))
+def _sortable(x: Column) -> Column:
+    """A long as 16 hex digits that sort as the numbers do."""
+    return F.lpad(F.hex(x.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+
+
+def _bucket(place: Column, firsts: list[str]) -> Column:
+    """The number of the last of sorted firsts that is not above place, by halving; the plan holds them as one string."""
+    held = F.split(F.lit(",".join(firsts)), ",")
+    halves = [1 << k for k in reversed(range(max(len(firsts) - 1, 0).bit_length()))]
+    return F.aggregate(F.lit([0, *halves]), F.lit(0), lambda at, step: F.when(F.get(held, at + step) <= place, at + step).otherwise(at))
+
+
+def _terms(text: Column) -> Column:
+    """Runs of characters other than white space; a text without any has the one term ''."""
+    found = F.filter(F.split(text, r"\s+"), lambda t: t != "")
+    return F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found)
 
 
 def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -69,38 +79,36 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
     docs: has ``doc_id`` and ``text``; other columns are not read.  The edited text has the
     last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
-    document's, by ascending doc_id (null first, equal doc_ids by a hash of the text; after the
-    last comes the first).  Null texts count as empty; a text without terms has the one term
-    ''.  Repeated rows are documents of their own.  An empty table gives no rows.
-
-    Texts are dealt once, by ranges of doc_id, and all that follows stays in that partition;
-    a range's first document also goes to the range before it, which ends with it.
+    document's, by ascending doc_id (null first, as the least long; equal doc_ids by a hash of
+    the text; after the last comes the first).  Null texts count as empty; a text without terms
+    has the one term ''.  Repeated rows are documents of their own.  An empty table gives no rows.
+
+    Ids alone are ordered first, by ranges, and each range's first document is found.  Then texts
+    are dealt once, by those ranges, and all that follows stays in that partition; a range's
+    first document also goes to the range before it, which ends with it.  Rows of one doc_id,
+    and copies of one row, are cut between ranges like any others.
     """
     spark = docs.sparkSession
     parts = 2 * parallelism(spark)
-    buckets = min(4096, 8 * parts)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = docs.select("doc_id")
-    bounds = ids.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 20 * buckets).alias("b")).first()["b"] or []
-    bounds = sorted(set(bounds))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_by_bounds(F.col("doc_id"), bounds))
-    docs = docs.withColumn("bucket", bucket).withColumn("h", F.xxhash64("text"))
-    # the first document of each bucket: as many rows as buckets
-    firsts = sorted((r["bucket"], r["f"]["doc_id"], r["f"]["h"]) for r in docs.groupBy("bucket").agg(F.min(F.struct("doc_id", "h")).alias("f")).collect())
-    before = [(doc_id, h, firsts[k - 1][0]) for k, (_, doc_id, h) in enumerate(firsts)]
-    ends = F.broadcast(spark.createDataFrame(before, "first_id long, first_h long, ends int"))
-    dealt = docs.join(ends, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")), "left")
-    places = F.array_compact(F.array(F.struct("bucket", F.lit(False).alias("end")), F.when(F.col("ends").isNotNull(), F.struct(F.col("ends").alias("bucket"), F.lit(True).alias("end")))))
-    dealt = dealt.select("doc_id", "text", "h", F.inline(places)).repartition(parts, "bucket")
-
-    order = Window.partitionBy("bucket").orderBy("end", F.asc_nulls_first("doc_id"), "h")
+    document = F.concat(_sortable(F.coalesce("doc_id", F.lit(-(1 << 63)))), _sortable(F.xxhash64("text")))
+    docs = docs.withColumn("document", document).withColumn("place", F.concat("document", _sortable(F.monotonically_increasing_id())))
+    # a row a range
+    ranges = docs.select("place").repartitionByRange(parts, "place").groupBy(F.spark_partition_id()).agg(F.min("place").alias("first"))
+    firsts = sorted(r["first"] for r in ranges.select("first").collect())
+    follows = [(first[:32], (k - 1) % len(firsts)) for k, first in enumerate(firsts)]
+    ends = docs.join(F.broadcast(spark.createDataFrame(follows, "document string, bucket int")), "document").groupBy("bucket").agg(F.first("text").alias("text"))
+    ends = ends.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit("~").alias("place"), "bucket")
+    dealt = docs.select("doc_id", "text", "place", _bucket(F.col("place"), firsts).alias("bucket")).unionByName(ends).repartitionById(parts, F.col("bucket"))
+
+    order = Window.partitionBy("bucket").orderBy("place")
     n, half = F.length("text"), F.floor(F.length("text") / 2)
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("after", F.lit("")), F.lit(1), half))
     both = dealt.withColumns({"after": F.lead("text").over(order), "row": F.row_number().over(order)}).withColumns({"n_chars": n.cast("long"), "edited": edited})
-    about = both.select("bucket", "row", "doc_id", "end", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    about = both.select("bucket", "row", "doc_id", (F.col("place") == "~").alias("end"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
 
     versions = both.select("bucket", "row", F.posexplode(F.array("text", "edited")).alias("version", "t"))
-    terms = versions.select("bucket", "row", "version", F.explode(F.split("t", r"\s+")).alias("term"))
+    terms = versions.select("bucket", "row", "version", F.explode(_terms(F.col("t"))).alias("term"))
     counts = terms.groupBy("bucket", "row", "version", F.xxhash64("term").alias("term")).agg(F.count("*").alias("n"))
     counts = counts.select("bucket", "row", "version", "term", F.log(F.col("n").cast("double")).alias("lw"))
     least = counts.groupBy("bucket", "row", "version").agg(*(F.min(c).alias(f"s{k}") for k, c in enumerate(sample_columns(F.col("term"), F.col("lw"), samples))))

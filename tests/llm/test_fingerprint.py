@@ -1,7 +1,10 @@
 import hashlib
+import math
+import re
 from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from brindle.llm import fingerprint
@@ -74,3 +77,51 @@ def test_many_terms_are_sampled_by_weight(spark):
         own = terms.filter("id = 0").select(*columns[k : k + 32]).first()
         chosen += sum(x == y for x, y in zip(least, own, strict=True))
     assert abs(chosen / 256 - 0.3) < 0.09
+
+
+def plain_print(text, samples=fingerprint.SAMPLES):
+    """Consistent weighted sampling of one text, term by term."""
+
+    def least(k, terms):
+        best = None
+        for term, n in terms.items():
+            h = xxhash.xxh64_intdigest(term.encode(), 42)
+            u = [((xxhash.xxh64_intdigest((5 * k + j).to_bytes(4, "little"), xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42)) >> 12) + 0.5) * 2.0**-52 for j in range(5)]
+            r, c = -math.log(u[0] * u[1]), -math.log(u[2] * u[3])
+            t = math.floor(math.log(n) / r + u[4])
+            log_a = math.log(c) - r * (t - u[4] + 1)
+            at = int((log_a + 1024) * (1 << 20)), (h ^ ((t & 0x7FFFFFFF) * 2654435769)) & 0xFFFFFFFF
+            best = at if best is None else min(best, at)
+        return f"{best[1]:08x}"
+
+    terms = Counter(w for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w) or {"": 1}
+    return "".join(least(k, terms) for k in range(samples))
+
+
+def test_like_plain_sampling(spark):
+    rows = [(1, " a b b  c "), (2, "a b b c"), (3, None), (4, "\n\t "), (5, " ".join(f"w{k % 37}" for k in range(500))), (6, "ü x " * 100)]
+    got = {g["doc_id"]: g for g in fingerprint.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i]["fingerprint"] for i, _ in rows} == {i: plain_print(t or "") for i, t in rows}
+    assert got[1]["fingerprint"] == got[2]["fingerprint"] and got[1]["near_next"] == 1
+    assert {i: got[i]["edited_fingerprint"] for i, _ in rows} == {i: plain_print(t) for i, t in edited([(i, t or "") for i, t in rows]).items()}
+
+
+def test_one_doc_id_is_cut(spark):
+    rows = [(7 if k % 3 else k, f"t{k % 400} u{k % 5} v") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = fingerprint.fingerprint_documents(df)
+    got = out.collect()
+    assert sorted(g["doc_id"] for g in got) == sorted(i for i, _ in rows)
+    assert max(Counter(r["p"] for r in out.select("doc_id", F.spark_partition_id().alias("p")).collect()).values()) < 1000
+    # texts of the order: all that is known of ties is that equal texts stand together
+    assert Counter(g["fingerprint"] for g in got) == Counter(plain_print(t) for _, t in rows)
+
+
+def test_a_range_adds_one_string_to_the_plan(spark):
+    df = spark.createDataFrame([(k, f"t{k} u v") for k in range(2000)], "doc_id long, text string")
+    size, before = {}, spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (8, 211):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        size[n] = len(fingerprint.fingerprint_documents(df)._jdf.queryExecution().analyzed().toString())
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert size[211] < size[8] + 2 * 50 * 2 * 211
