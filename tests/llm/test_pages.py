@@ -1,7 +1,10 @@
 import html
+import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import pages
 from brindle.llm.queries import table
@@ -33,8 +36,9 @@ def test_template_is_what_does_not_vary():
 
 def test_constant_inside_article():
     page = "<article><h1>T{0}</h1><div>Read more of us</div><p>a long text {0} of words</p></article>"
-    assert pages.extract([page.format(k) for k in range(20)]) == [f"T{k}\na long text {k} of words" for k in range(20)]
-    assert pages.extract([page.format(k) for k in range(4)])[0] == "T0\nRead more of us\na long text 0 of words"  # too few to tell
+    # an article's text is not dropped for being the same elsewhere
+    for n in (20, 4, 1):
+        assert pages.extract([page.format(k) for k in range(n)]) == [f"T{k}\nRead more of us\na long text {k} of words" for k in range(n)]
 
 
 def test_parts_that_go():
@@ -45,8 +49,9 @@ def test_parts_that_go():
 
 
 def test_matching():
-    a, b = (pages.shape(pages.parse(s)) for s in ("<div><h1>a</h1><p>b</p><p>c</p></div><nav></nav>", "<section></section><div><p>x</p></div><nav></nav>"))
-    size, pairs = pages.match(a, b)
+    names = pages.Interned()
+    a, b = (pages.shape(pages.parse(s), names) for s in ("<div><h1>a</h1><p>b</p><p>c</p></div><nav></nav>", "<section></section><div><p>x</p></div><nav></nav>"))
+    size, pairs = pages.match(a, b, names)
     assert size == 3 and sorted(x.tag for x, _ in pairs) == ["div", "nav", "p"]
 
 
@@ -79,3 +84,64 @@ def test_slots_missing_from_the_reference():
     page = "<div><p>About {0}</p></div>{1}"
     parts = ["<section>Our prizes</section>", "<table><tr><td>Our shops</table>", "<blockquote>Our words</blockquote>"]
     assert pages.extract([page.format(k, parts[k % 3]) for k in range(12)]) == [f"About {k}" for k in range(12)]
+
+
+def test_alignment_decides():
+    """Without marks, what is constant goes and what varies stays; with an article, what varies beside it stays too."""
+    page = "<div>Site name</div><div><div>Menu of us</div><h1>T{0}</h1><div>text {0} of words</div></div><div><span>Call us</span> now</div>"
+    whole = [page.format(k) for k in range(5)]
+    assert pages.extract(whole) == [f"T{k}\ntext {k} of words" for k in range(5)]
+    assert pages.extract(whole, align=False) == [f"Site name\nMenu of us\nT{k}\ntext {k} of words\nCall us now" for k in range(5)]
+    beside = "<div>Site name</div><article>story {0}</article><div>more of story {0}</div><ul><li><a href=x>Link {0}</a></li><li><a href=y>Two {0}</a></li></ul>"
+    assert pages.extract([beside.format(k) for k in range(5)]) == [f"story {k}\nmore of story {k}" for k in range(5)]
+    assert pages.extract([beside.format(k) for k in range(2)]) == [f"story {k}" for k in range(2)]  # too few pages to tell
+
+
+def test_inline_elements_are_part_of_their_text():
+    page = "<div>Site</div><div><p>By <b>the editors</b> of day {0}</p>loose <i>always</i> {0}<div>x {0}</div>All rights</div>"
+    assert pages.extract([page.format(k) for k in range(4)]) == [f"By the editors of day {k}\nloose always {k}\nx {k}" for k in range(4)]
+
+
+def brute(a, b):
+    """Simple tree matching, plainly: nodes matched in two lists of (tag, children)."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, (s, x) in enumerate(a):
+        for j, (t, y) in enumerate(b):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + (1 + brute(x, y)) * (s == t))
+    return best[-1][-1]
+
+
+def random_tree(r, depth):
+    return [(r.choice(["div", "section", "ul"]), random_tree(r, depth - 1)) for _ in range(r.randint(0, 5))] if depth else []
+
+
+def written(tree, r):
+    return "".join(f"<{t}>{written(x, r) or r.choice('uvw')}</{t}>" for t, x in tree)
+
+
+@pytest.mark.parametrize("cells", [1, 4096])
+def test_matching_like_brute_force(monkeypatch, cells):
+    monkeypatch.setattr(pages, "CELLS", cells)
+    r = random.Random(5)
+    for _ in range(150):
+        a, b = random_tree(r, 3), random_tree(r, 3)
+        names = pages.Interned()
+        x, y = (pages.shape(pages.parse(written(t, r)), names) for t in (a, b))
+        size, pairs = pages.match(x, y, names)
+        assert size == brute(a, b) and len({id(p) for p, _ in pairs}) == size == len({id(q) for _, q in pairs})
+        assert all(p.tag == q.tag for p, q in pairs)
+
+
+def test_many_siblings():
+    r = random.Random(6)
+    rows = [[f"<div>row {k} of {p}</div>" if r.random() < 0.5 else f"<div><p>row {k} of {p}</p><section>x</section></div>" for k in range(20_000 - 100 * p)] for p in range(3)]
+    began = time.time()
+    got = pages.extract(["<div>Site</div>" + "".join(x) for x in rows])
+    assert time.time() - began < 60
+    for p, (g, x) in enumerate(zip(got, rows, strict=True)):
+        assert [int(k) for k in re.findall(rf"row (\d+) of {p}", g)] == list(range(len(x)))
+
+
+def test_copies_of_a_row_are_cut(spark):
+    df = spark.createDataFrame([(None, None, "<p>a")] * 500, "page_id long, url string, html string")
+    assert [(r["n"], r["text"]) for r in pages.extract_pages(df, 20).groupBy("text").agg(F.count("*").alias("n")).collect()] == [(500, "a")]
