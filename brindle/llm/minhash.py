@@ -4,10 +4,11 @@ A document is the set of its five-word shingles.  Its minwise tokens are the lea
 hashes of the set under ``COORDINATES`` functions; two documents share each with
 the probability of their Jaccard similarity.  In each of ``TREES`` independent trees a
 document goes down from the root: at every node some coordinates are chosen (one,
-and a second in a third of the nodes, 4/3 = 1/threshold on average), and the document
-branches by its tokens there.  What meets in a small node is compared exhaustively by the
-sketches; a large node branches on.  Pairs that look similar become links only by an
-exact comparison of the full sets.
+and a second in a third of the nodes, 4/3 = 1/threshold on average; two below depth
+``WIDE``, so that deep levels lose no pairs), and the document branches by its tokens there.
+What meets in a small node is compared exhaustively by the sketches; a large node
+branches on until it is small.  Pairs that look similar become links only by an exact
+comparison of the full sets.
 
 Work is kept from growing with the square of a group:
 
@@ -18,8 +19,12 @@ Work is kept from growing with the square of a group:
   found in the nodes;
 * in small nodes the documents that look similar to one of another component are compared
   by their full sets there, and only a forest of their links goes on;
-* in large nodes at the last depth, only documents outside the largest component are
-  compared with the others, by their full sets, in blocks.
+* what has not become small at the last depth holds documents that share most of their
+  tokens; there all outside the largest component are compared with the others, by their
+  full sets, in blocks.
+
+A tree node is one key of the joins that follow.  Nodes with more than a task's share of
+the rows, of which there are fewer than tasks, are joined by broadcast where their rows are.
 """
 
 from __future__ import annotations
@@ -33,18 +38,21 @@ from pyspark.sql import functions as F
 
 from brindle.llm.workers import releasing
 from brindle.operators.components import connected_components
-from brindle.storage import stored
+from brindle.storage import parallelism, stored
 
 WORDS = 5
 #: Similarity of a link: 100 * intersection >= 75 * union.
 NEAR = 75
 COORDINATES = 128
-#: A pair at the threshold misses all trees with probability 2e-9 at depth 1, 8e-7 at depth 2 (see ``miss``).
+#: A pair at the threshold misses all trees with probability 2e-9 at depth 1, 8e-7 at depth 2, under 5e-6 at any (see ``miss``).
 TREES = 12
-DEPTH = 2
+#: Levels, and the last with one coordinate or two.
+DEPTH = 8
+WIDE = 2
 #: Documents of a node that is compared exhaustively.
 SMALL = 256
-#: Sketch similarity (in 128ths) from which a pair is confirmed: 0.75 less four standard deviations.
+#: Sketch similarity (in 128ths) from which a pair is confirmed: 0.75 less four standard deviations.  All trees
+#: share the sketch, so a pair at exactly 0.75 is not confirmed with probability 7.5e-5, one at 0.8 with 3e-9.
 SKETCH = 77
 #: Strays of a block, about, and members of a large node that they are compared with at once.
 STRAYS = 256
@@ -108,9 +116,10 @@ def _chosen(node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, second, (r >> np.uint64(40)) % np.uint64(3) == 0
 
 
-def children(node: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For nodes and their documents' tokens (a row each): rows and child nodes."""
+def children(node: np.ndarray, tokens: np.ndarray, depth: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """For nodes and their documents' tokens (a row each): rows and child nodes, which are at ``depth``."""
     first, second, both = _chosen(node)
+    both = both | (depth > WIDE)
     at = np.arange(len(node))
     one = _mix(node + np.uint64(1) + _mix(first + (tokens[at, first].astype(np.uint64) << np.uint64(8))))
     two = _mix(node + np.uint64(1) + _mix(second + (tokens[at, second].astype(np.uint64) << np.uint64(8))))
@@ -123,13 +132,13 @@ _ROOTS = _mix(np.arange(1, TREES + 1, dtype=np.uint64))
 def miss(similarity: float, depth: int, trees: int = TREES) -> float:
     """Probability that no tree brings a pair together at a depth."""
     meet = 1.0
-    for _ in range(depth):
+    for level in range(depth, 0, -1):  # from the leaves up
         apart = 1 - similarity * meet
-        meet = 1 - (2 * apart + apart * apart) / 3
+        meet = 1 - apart * apart if level > WIDE else 1 - (2 * apart + apart * apart) / 3
     return (1 - meet) ** trees
 
 
-_FEATURES = "doc_id long, n_shingles long, key1 long, key2 long, paths array<long>, sketch binary"
+_FEATURES = "doc_id long, h long, n_shingles long, key1 long, key2 long, paths array<long>, sketch binary"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +146,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         out: list[list] = [[], [], [], [], []]
-        for text in batch.column(1):
+        for text in batch.column(2):
             s = shingles(text.as_py())
             key = xxhash.xxh3_128_digest(s.tobytes())
             out[0].append(len(s))
@@ -152,7 +161,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out[3].append([])
                 out[4].append(b"")
         kinds = [*[pa.int64()] * 3, pa.list_(pa.int64()), pa.binary()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], ["doc_id", "n_shingles", "key1", "key2", "paths", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], ["doc_id", "h", "n_shingles", "key1", "key2", "paths", "sketch"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -280,14 +289,19 @@ def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["src", "dst"])
 
 
-def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            path = batch.column(0).to_numpy().view(np.uint64)
-            nodes = batch.column(1).to_numpy()
-            s = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(len(path), COORDINATES)
-            rows, child = children(path, s)
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(nodes[rows])], ["path", "node"])
+def _branch(depth: int):
+    """Rows (path, node, sketch) to the nodes of the level ``depth``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                path = batch.column(0).to_numpy().view(np.uint64)
+                nodes = batch.column(1).to_numpy()
+                s = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(len(path), COORDINATES)
+                rows, child = children(path, s, depth)
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(nodes[rows])], ["path", "node"])
+
+    return run
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,17 +320,30 @@ class _Join:
     """The state of one run: documents of different sets (nodes), their sketches, components and links."""
 
     def __init__(self, docs: DataFrame):
-        self.docs = docs
-        rows = docs.mapInArrow(releasing(_features), _FEATURES).withColumn("row", F.monotonically_increasing_id())
+        # h tells rows of one doc_id apart, and finds a text again
+        self.docs = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+        self.tasks = parallelism(docs.sparkSession)
+        rows = self.docs.mapInArrow(releasing(_features), _FEATURES).withColumn("row", F.monotonically_increasing_id())
         self.rows = stored(rows, "features")
-        own = self.rows.filter("n_shingles > 0").groupBy("key1", "key2").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"))
-        own = own.select(F.col("row").alias("node"), "least_id")
+        own = self.rows.filter("n_shingles > 0").groupBy("key1", "key2").agg(F.min("row").alias("row"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("least"))
+        own = own.select(F.col("row").alias("node"), "least")
         # row is a row's own number, so this join has no hot key
-        self.nodes = stored(self.rows.join(own, self.rows["row"] == own["node"]).select("node", "least_id", "key1", "key2", "doc_id", "paths", "sketch"), "nodes")
+        self.nodes = stored(self.rows.join(own, self.rows["row"] == own["node"]).select("node", "least", "key1", "key2", "doc_id", "h", "paths", "sketch"), "nodes")
         self.links: DataFrame | None = None
         self.comps: DataFrame | None = None
         self.sets: DataFrame | None = None
 
+    def by_path(self, rows: DataFrame, about: DataFrame) -> DataFrame:
+        """Joins rows (path, ...) with a row a tree node (path, n, ...), n the number of its rows.
+
+        Fewer nodes than there are tasks have more than a task's share of the rows; these go to
+        where the rows are, so that no task gets one node's rows.
+        """
+        many = (about.agg(F.sum("n")).first()[0] or 0) / self.tasks
+        hot = F.broadcast(about.filter(F.col("n") > many))  # fewer rows than tasks
+        rest = rows.join(hot.select("path"), "path", "left_anti").join(about.filter(F.col("n") <= many), "path")
+        return rows.join(hot, "path").unionByName(rest)
+
     def with_comp(self, df: DataFrame, node: str = "node", name: str = "comp") -> DataFrame:
         if self.comps is None:
             return df.withColumn(name, F.col(node))
@@ -341,16 +368,13 @@ class _Join:
         self.links = edges if self.links is None else self.links.unionByName(edges)
         self.comps = stored(connected_components(self.links), "components")
 
-    def settle(self, small: DataFrame, large: DataFrame) -> None:
-        """Compares small nodes (path, node, comp, sketch) exhaustively: by sketch, then the documents that are left by their full sets.
-
-        The sets of the documents of large nodes, which deeper levels need, are gathered along.
-        """
+    def settle(self, small: DataFrame) -> None:
+        """Compares small nodes (path, node, comp, sketch) exhaustively: by sketch, then the documents that are left by their full sets."""
         near = small.repartition("path").sortWithinPartitions("path").select("path", "node", "comp", "sketch").mapInArrow(_candidates, "path long, node long, comp long")
         near = stored(near, "near")
-        self.gather_sets(near.select("node").unionByName(large.select("node")))
         if near.isEmpty():
             return
+        self.gather_sets(near.select("node"))
         rows = near.join(self.sets, "node").select("path", "node", "comp", "s").repartition("path").sortWithinPartitions("path")
         self.link(rows.mapInArrow(releasing(_exact), "src long, dst long"))
 
@@ -359,7 +383,8 @@ class _Join:
         wanted = wanted.distinct()
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
-        wanted = stored(self.nodes.select("node", "doc_id", "key1").join(wanted, "node"), "wanted")
+        # written, so that Spark knows its size and broadcasts it only if it is small
+        wanted = stored(self.nodes.select("node", F.col("doc_id").alias("id"), F.col("h").alias("ih"), "key1").join(wanted, "node"), "wanted")
         if wanted.isEmpty():
             return
 
@@ -376,7 +401,8 @@ class _Join:
                             out.append(raw)
                     yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(out, pa.binary())], ["node", "s"])
 
-        texts = self.docs.withColumnRenamed("doc_id", "id").join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")))
+        # (doc_id, h) is one text, and one wanted row: rows multiply with nothing, however often a doc_id is there
+        texts = self.docs.join(wanted, (F.col("h") == F.col("ih")) & F.col("doc_id").eqNullSafe(F.col("id")))
         new = stored(texts.select("node", "key1", "text").mapInArrow(releasing(full), "node long, s binary"), "sets")
         if new.count() > wanted.count():  # rows of one doc_id and text
             new = stored(new.dropDuplicates(["node"]), "sets")
@@ -393,27 +419,26 @@ class _Join:
             size = paths.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.min(F.struct(F.xxhash64("node", "path").alias("h"), "node")).alias("any"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
             # small nodes of a group mostly have one centre, so few pairs; large nodes have different ones, so that most documents meet one that is near
             size = size.filter("n > 1 AND c1 <> c2").select("path", "n", F.when(F.col("n") > SMALL, F.col("any.node")).otherwise(F.col("least")).alias("centre"))
-            rest = stored(paths.join(size, "path"), "met")
+            rest = stored(self.by_path(paths, stored(size, "sizes")), "met")
             self.take(self.compared(rest.filter("node <> centre").select("node", "centre")))
             rest = self.mixed(rest)
-            small = rest.filter(F.col("n") <= SMALL).select("path", "node", "comp").join(self.nodes.select("node", "sketch"), "node")
+            self.settle(rest.filter(F.col("n") <= SMALL).select("path", "node", "comp").join(self.nodes.select("node", "sketch"), "node"))
             large = rest.filter(F.col("n") > SMALL)
-            self.settle(small, large)
             if large.isEmpty():
                 return
             large = self.mixed(large)
             if large.isEmpty():
                 return
             if depth < DEPTH:
-                paths = large.join(self.nodes.select("node", "sketch"), "node").select("path", "node", "sketch").mapInArrow(_branch, "path long, node long").distinct()
+                paths = large.join(self.nodes.select("node", "sketch"), "node").select("path", "node", "sketch").mapInArrow(_branch(depth + 1), "path long, node long").distinct()
             else:
                 self.strays(large)
 
     def mixed(self, met: DataFrame) -> DataFrame:
         """Rows (path, node, n, comp) of the tree nodes that are not one component yet."""
         now = self.with_comp(met.select("path", "node", "n"))
-        several = now.groupBy("path").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("path")
-        return stored(now.join(several, "path"), "mixed")
+        several = now.groupBy("path").agg(F.count("*").alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("path", "n")
+        return stored(self.by_path(now.drop("n"), stored(several, "several")), "mixed")
 
     def compared(self, pairs: DataFrame) -> DataFrame:
         """Sketch similarity of different (node, centre) pairs, those near enough."""
@@ -436,8 +461,8 @@ class _Join:
         """Large nodes at the last depth: all documents outside a node's largest component, in blocks, against the node by their full sets."""
         self.gather_sets(rest.select("node"))
         counts = rest.groupBy("path", "comp").agg(F.count("*").alias("n")).groupBy("path").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("n"))
-        main = counts.select("path", F.col("m.comp").alias("main"), (1 + F.floor((F.col("n") - F.col("m.n")) / STRAYS)).alias("blocks"))
-        rows = rest.select("path", "node", "comp").join(main, "path").join(self.sets, "node")
+        main = counts.select("path", "n", F.col("m.comp").alias("main"), (1 + F.floor((F.col("n") - F.col("m.n")) / STRAYS)).alias("blocks"))
+        rows = self.by_path(rest.select("path", "node", "comp"), stored(main, "main")).join(self.sets, "node")
         own = F.when(F.col("comp") != F.col("main"), F.struct(F.pmod(F.xxhash64("node"), "blocks").alias("block"), F.lit(0).alias("member")))
         places = F.array_compact(F.concat(F.array(own), F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(k.alias("block"), F.lit(1).alias("member")))))
         dealt = rows.select("path", F.inline(places), "node", "comp", "s")
@@ -445,6 +470,15 @@ class _Join:
         self.link(dealt.mapInArrow(releasing(_against), "src long, dst long"))
 
 
+def _joined(docs: DataFrame) -> tuple[_Join, DataFrame]:
+    """A run over documents, and its classes: each set's (key1, key2) with the least document of its class."""
+    run = _Join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    run.run()
+    nodes = run.with_comp(run.nodes.select("node", "least", "key1", "key2"))
+    least = nodes.groupBy("comp").agg(F.min("least").alias("first"))
+    return run, nodes.join(least, "comp").select("key1", "key2", "first")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Near-duplicate groups: ``doc_id, n_shingles, component_id, kept``, a row a document.
 
@@ -456,12 +490,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Repeated rows are equal documents with one doc_id, so all of them are kept or none.  An
     empty table gives no rows.
     """
-    run = _Join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    run.run()
-    nodes = run.with_comp(run.nodes.select("node", "least_id", "key1", "key2"))
-    least = nodes.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    of_key = nodes.join(least, "comp").select("key1", "key2", "component_id")
+    run, of_key = _joined(docs)
     rows = run.rows.select("doc_id", "n_shingles", "key1", "key2")
-    some = rows.filter("n_shingles > 0").join(of_key, ["key1", "key2"]).select("doc_id", "n_shingles", "component_id")
+    some = rows.filter("n_shingles > 0").join(of_key, ["key1", "key2"]).select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"))
     none = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return some.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, with one row of each near-duplicate group: the one of least doc_id (null last).
+
+    Of rows of one doc_id that are in one group, that of the least text hash stays; of rows
+    of one doc_id and text, blank ones too, any one.  Other blank texts are groups of their own.
+    """
+    run, of_key = _joined(docs)
+    first = of_key.select("first.doc_id", "first.h").unionByName(run.rows.filter("n_shingles = 0").select("doc_id", "h")).distinct()
+    first = stored(first.toDF("_id", "_ih"), "first")
+    own = docs.withColumns({"_d": F.col("doc_id").cast("long"), "_h": F.xxhash64("text")})
+    own = own.join(first, (F.col("_h") == F.col("_ih")) & F.col("_d").eqNullSafe(F.col("_id")), "left_semi")
+    return own.dropDuplicates(["_d", "_h"]).select(*docs.columns)

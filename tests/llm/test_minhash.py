@@ -34,7 +34,7 @@ def found(df):
 
 
 def test_miss_probability():
-    assert minhash.miss(0.75, 1) < 3e-9 and minhash.miss(0.75, minhash.DEPTH) < 2e-5
+    assert minhash.miss(0.75, 1) < 3e-9 and all(minhash.miss(0.75, k) < 5e-6 for k in range(1, minhash.DEPTH + 1))
 
 
 def test_sketch_estimates():
@@ -92,3 +92,32 @@ def test_group_around_the_threshold(spark, monkeypatch):
             t[int(r.integers(0, len(t)))] = f"x{r.integers(0, 10**6)}"
         rows.append((k, " ".join(t)))
     assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)) == brute(rows)
+
+
+def test_null_ids(spark):
+    rows = [(None, f"one two three four {k // 2} six seven") for k in range(2000)] + [(None, "one text of many rows")] * 500 + [(3, "one two three four 7 six seven")]
+    got = found(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    assert len(got) == len(rows) and got.count((None, 3, 3, False)) == 2 and got.count((3, 3, 3, True)) == 1
+    assert sum(k for *_, k in got) == len(rows) - 2
+
+
+def test_a_passage_shared_by_many(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", 100)
+    levels = []
+    branch = minhash._branch
+    monkeypatch.setattr(minhash, "_branch", lambda depth: levels.append(depth) or branch(depth))
+    monkeypatch.setattr(minhash._Join, "strays", lambda self, rest: pytest.fail("nodes have not become small"))
+    r = np.random.default_rng(3)
+    passage = [f"p{k}" for k in range(50)]
+    rows = [(k, " ".join([f"w{x}" for x in r.integers(0, 10**6, 70)] + passage)) for k in range(1500)]
+    rows += [(2000 + k, rows[k][1] + " more") for k in range(0, 60, 2)]
+    got = found(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    assert got == brute(rows) and max(levels) >= 3
+
+
+def test_deduplicated_rows(spark):
+    rows = [(5, "a b c", "x"), (5, "a b c", "y"), (5, "d e f", "x"), (7, "a b c", "x"), (7, "d e f g", "x"), (None, "d e f", "x"), (9, None, "x"), (9, " ", "x"), (9, " ", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = minhash.deduplicated(df)
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"], r["text"] or "-") for r in got.collect()) == [(5, "a b c"), (5, "d e f"), (7, "d e f g"), (9, " "), (9, "-")]
