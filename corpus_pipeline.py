@@ -7,7 +7,7 @@ repeated rows and empty tables are as the operators say.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import bpe, langid, minhash, mixing
@@ -30,14 +30,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the least doc_id, in one row."""
-    kept = stored(minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")), "kept")
-    again = kept.groupBy("kept_id").count().filter("count > 1").isEmpty()
-    docs = docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    if not again:  # rows of one doc_id: the first of each text
-        row = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang")
-        docs = docs.withColumn("_row", F.row_number().over(row)).filter("_row = 1").drop("_row")
-    return docs
+    """One row of each group of near-duplicates stays: the one of the least doc_id."""
+    return minhash.deduplicated(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
