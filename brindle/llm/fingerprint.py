@@ -107,15 +107,16 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     both = dealt.withColumns({"after": F.lead("text").over(order), "row": F.row_number().over(order)}).withColumns({"n_chars": n.cast("long"), "edited": edited})
     about = both.select("bucket", "row", "doc_id", (F.col("place") == "~").alias("end"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
 
-    versions = both.select("bucket", "row", F.posexplode(F.array("text", "edited")).alias("version", "t"))
-    terms = versions.select("bucket", "row", "version", F.explode(_terms(F.col("t"))).alias("term"))
-    counts = terms.groupBy("bucket", "row", "version", F.xxhash64("term").alias("term")).agg(F.count("*").alias("n"))
-    counts = counts.select("bucket", "row", "version", "term", F.log(F.col("n").cast("double")).alias("lw"))
-    least = counts.groupBy("bucket", "row", "version").agg(*(F.min(c).alias(f"s{k}") for k, c in enumerate(sample_columns(F.col("term"), F.col("lw"), samples))))
-    prints = least.select("bucket", "row", "version", F.array(*(F.col(f"s{k}").bitwiseAND(0xFFFFFFFF) for k in range(samples))).alias("s"))
-    prints = prints.groupBy("bucket", "row").agg(F.max(F.when(F.col("version") == 0, F.col("s"))).alias("own"), F.max(F.when(F.col("version") == 1, F.col("s"))).alias("edit"))
-
-    rows = about.join(prints, ["bucket", "row"]).withColumn("next", F.lead("own").over(Window.partitionBy("bucket").orderBy("row")))
+    # doc_id goes along, so that both sides of the join read the same exchange
+    versions = both.select("bucket", "row", "doc_id", F.posexplode(F.array("text", "edited")).alias("version", "t"))
+    terms = versions.select("bucket", "row", "doc_id", "version", F.explode(_terms(F.col("t"))).alias("term"))
+    counts = terms.groupBy("bucket", "row", "doc_id", "version", F.xxhash64("term").alias("term")).agg(F.count("*").alias("n"))
+    counts = counts.select("bucket", "row", "doc_id", "version", "term", F.log(F.col("n").cast("double")).alias("lw"))
+    least = counts.groupBy("bucket", "row", "doc_id", "version").agg(*(F.min(c).alias(f"s{k}") for k, c in enumerate(sample_columns(F.col("term"), F.col("lw"), samples))))
+    prints = least.select("bucket", "row", "doc_id", "version", F.array(*(F.col(f"s{k}").bitwiseAND(0xFFFFFFFF) for k in range(samples))).alias("s"))
+    prints = prints.groupBy("bucket", "row", "doc_id").agg(F.max(F.when(F.col("version") == 0, F.col("s"))).alias("own"), F.max(F.when(F.col("version") == 1, F.col("s"))).alias("edit"))
+
+    rows = about.join(prints.drop("doc_id"), ["bucket", "row"]).withColumn("next", F.lead("own").over(Window.partitionBy("bucket").orderBy("row")))
     text = lambda s: F.array_join(F.transform(s, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
     alike = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x) / samples
     return rows.filter(~F.col("end")).select("doc_id", "n_chars", "edited_sha256", text("own").alias("fingerprint"), text("edit").alias("edited_fingerprint"), alike("own", "edit").alias("near_edited"), alike("own", "next").alias("near_next"))
