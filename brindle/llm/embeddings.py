@@ -7,9 +7,10 @@ norms, and pairs for which even that cannot reach the threshold stop there.  The
 come the next dimensions, for the pairs that are left, and at the end the cosine itself
 of the vectors as given.
 
-A cosine of c means a distance of sqrt(2 - 2 c) at most, and no less along the first
-axis.  So vectors lie in cells of that width along it, and only tiles of one cell or
-of neighbouring cells meet.  A tile has about ``TILE`` vectors however many a cell has.
+A cosine of c means a distance of sqrt(2 - 2 c) at most, and no more along any axis.
+So vectors lie in cells of that width along the first ``AXES`` axes, and only tiles of one
+cell or of neighbouring cells meet.  A tile has about ``TILE`` vectors however many a cell
+has.  Vectors are scaled by a power of two first, so squares neither vanish nor overflow.
 Equal vectors are one vector with a count, so copies cost nothing; a pair of tiles
 gives counts and a forest of its links, never the links themselves.
 """
@@ -18,10 +19,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators.components import connected_components
@@ -29,7 +31,9 @@ from brindle.storage import stored
 
 NEAR = 0.98
 #: Vectors of a tile, about.
-TILE = 1024
+TILE = 512
+#: Axes along which vectors lie in cells.
+AXES = 3
 #: Leading dimensions of each stage.
 STAGES = (8, 24)
 #: Rounding that bounds allow for.
@@ -44,11 +48,16 @@ def principal_axes(moment: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(axes[:, ::-1])
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that each one's largest component is from 1/2 to 1; exact but for what is 2^1000 times smaller."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 class _Side:
     """A tile's vectors: as given, as unit vectors, turned to the axes, and the suffix norms."""
 
     def __init__(self, x: np.ndarray, axes: np.ndarray):
-        self.x = x
+        self.x = x = scaled(x)
         self.norm = np.sqrt((x * x).sum(axis=1))
         self.turned = (x / self.norm[:, None]) @ axes
         squares = np.cumsum((self.turned**2)[:, ::-1], axis=1)[:, ::-1]
@@ -130,7 +139,7 @@ def near_vectors(vectors: DataFrame, near: float = NEAR, tile: int = TILE) -> Da
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((d, d))
         for batch in batches:
-            x = batch.column(0).flatten().to_numpy().astype(float).reshape(-1, d)
+            x = scaled(batch.column(0).flatten().to_numpy().astype(float).reshape(-1, d))
             x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
             total += x.T @ x
         i, j = np.indices((d, d))
@@ -144,28 +153,39 @@ def near_vectors(vectors: DataFrame, near: float = NEAR, tile: int = TILE) -> Da
         axes = principal_axes((moment + moment.T) / 2)
     turn = lambda n: axes if n == d else np.eye(n)
     width = math.sqrt(2 - 2 * near) + 1e-6
+    reach = math.ceil(1 / width) + 2  # cells on either side of 0 along an axis
+    base = 2 * reach + 1
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cell, raw = [], []
             for e in batch.column(2):
                 x = np.array(e.values, float)
-                cell.append(int(((x / np.sqrt((x * x).sum())) @ turn(len(x))[:, 0]) // width))
                 raw.append(x.astype(kind).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(cell, pa.int32()), pa.array(raw, pa.binary())], ["node", "grp", "copies", "cell", "x"])
+                x = scaled(x[None, :])[0]
+                along = (x / np.sqrt((x * x).sum())) @ turn(len(x))[:, :AXES]
+                cell.append(sum((int(v // width) + reach) * base**k for k, v in enumerate(along)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(cell, pa.int64()), pa.array(raw, pa.binary())], ["node", "grp", "copies", "cell", "x"])
 
     grp = F.concat_ws(":", "label", F.size("embedding").cast("string")).alias("grp")
-    placed = stored(nodes.select("node", grp, "embedding", "copies").mapInArrow(place, "node long, grp string, copies long, cell int, x binary"), "placed")
+    placed = stored(nodes.select("node", grp, "embedding", "copies").mapInArrow(place, "node long, grp string, copies long, cell long, x binary"), "placed")
     tiles = placed.groupBy("grp", "cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("n"))
-    near_by = lambda shift, name: tiles.select("grp", (F.col("cell") + shift).alias("cell"), F.col("n").alias(name))
-    tiles = stored(tiles.join(near_by(-1, "after"), ["grp", "cell"], "left").join(near_by(1, "before"), ["grp", "cell"], "left").fillna(0), "tiles")
-    t = placed.join(tiles, ["grp", "cell"]).withColumn("t", F.pmod(F.xxhash64("node"), "n").cast("int"))
-    count = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
-    pair = lambda cell, a, shift, b, side: F.struct(cell.alias("cell"), a.alias("a"), F.lit(shift).alias("shift"), b.alias("b"), F.lit(side).alias("side"))
+    # up to 3 ** AXES neighbours of a cell, itself among them
+    steps = F.explode(F.array(*(F.lit(sum(o * base**k for k, o in enumerate(offset))).cast("long") for offset in product((-1, 0, 1), repeat=AXES))))
+    tiles = stored(tiles, "tiles")
+    around = tiles.select("grp", "cell", "n", steps.alias("step")).withColumn("to", F.col("cell") + F.col("step"))
+    around = around.join(tiles.select("grp", F.col("cell").alias("to"), F.col("n").alias("m")), ["grp", "to"])
+    around = stored(around.groupBy("grp", "cell", "n").agg(F.collect_list(F.struct("to", "m")).alias("around")), "around")
+    t = placed.join(around, ["grp", "cell"]).withColumn("t", F.pmod(F.xxhash64("node"), "n").cast("int"))
     c, own_t = F.col("cell"), F.col("t")
-    same = F.transform(count("n"), lambda j: F.struct(c.alias("cell"), F.least(own_t, j).alias("a"), F.lit(0).alias("shift"), F.greatest(own_t, j).alias("b"), (own_t > j).cast("int").alias("side")))
-    places = F.concat(same, F.transform(count("after"), lambda j: pair(c, own_t, 1, j, 0)), F.transform(count("before"), lambda j: pair(c - 1, j, 1, own_t, 1)))
-    key = ["grp", "cell", "a", "shift", "b"]
+
+    def met_in(to: Column, j: Column) -> Column:
+        """The pair of tiles, the lower cell's (or the lower tile's) first, and the side of this one."""
+        after = (to > c) | (to == c) & (j >= own_t)
+        return F.struct(F.least(c, to).alias("cell"), F.when(after, own_t).otherwise(j).alias("a"), F.greatest(c, to).alias("cell2"), F.when(after, j).otherwise(own_t).alias("b"), F.when(after, 0).otherwise(1).alias("side"))
+
+    places = F.flatten(F.transform("around", lambda o: F.transform(F.sequence(F.lit(0), o["m"] - 1), lambda j: met_in(o["to"], j))))
+    key = ["grp", "cell", "a", "cell2", "b"]
     met = t.select("grp", "node", "copies", "x", F.explode(places).alias("p")).select("grp", "p.*", "node", "copies", "x")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +193,7 @@ def near_vectors(vectors: DataFrame, near: float = NEAR, tile: int = TILE) -> Da
 
         def close() -> pa.RecordBatch | None:
             left = [h for h in held if h[0] == 0]
-            right = left if now[2] == now[4] and now[3] == 0 else [h for h in held if h[0] == 1]
+            right = left if now[1] == now[3] and now[2] == now[4] else [h for h in held if h[0] == 1]
             if not left or not right:
                 return None
             sides = [_Side((v := np.frombuffer(b"".join(h[3] for h in s), kind).astype(float).reshape(len(s), -1)), turn(v.shape[1])) for s in ([left, right] if right is not left else [left])]

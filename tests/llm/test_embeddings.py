@@ -62,3 +62,24 @@ def test_dense_block_is_exact():
 
 def test_empty(spark):
     assert found(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")) == []
+
+
+def test_tiny_and_huge_vectors(spark):
+    rows = [(1, [1e-200, 2e-200]), (2, [1e200, 2e200]), (3, [1.0, 2.0]), (4, [5e-324, 1e-323]), (5, [1.7e308, -1.7e308]), (6, [1e-160, -1e-160]), (7, [0.0, 1e-310]), (8, [0.0, 3.0])]
+    df = spark.createDataFrame([(i, e, 0) for i, e in rows], "vec_id long, embedding array<double>, label int")
+    assert found(df, tile=2) == [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 3, 1, False), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 7, True), (8, 1, 7, False)]
+
+
+def test_links_across_cells(spark):
+    r = np.random.default_rng(11)
+    rows = []
+    for k in range(60):  # pairs just under and over the threshold, anywhere on the sphere
+        x = r.normal(size=5)
+        y = r.normal(size=5)
+        y -= x * (x @ y) / (x @ x)
+        for c in (0.9805, 0.9795):
+            z = c * x / np.linalg.norm(x) + (1 - c * c) ** 0.5 * y / np.linalg.norm(y)
+            rows.append((len(rows), [float(np.float32(v)) for v in z], 0))
+        rows.append((len(rows), [float(np.float32(v)) for v in x], 0))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    assert found(df, tile=4) == brute(rows)
