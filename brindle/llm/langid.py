@@ -3,8 +3,8 @@
 The model counts words and the character n-grams of words in labelled texts.  A known
 word has a score for each language: its log frequency there.  A word that no language
 knows is looked up by its n-grams, longest first; at the first length at which any is
-known, their mean log frequencies are its score.  A text's score is the sum over its
-words, and the languages' shares follow from it.
+known, their mean log frequencies are its score.  A text's score is the mean over its
+words, and the languages' shares follow from it, so long texts are not surer than short ones.
 
 A word is a maximal run of letters, lower-cased; n-grams see a space at a word's ends.
 """
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.workers import releasing
@@ -29,9 +29,7 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Longest n-gram of the fallback.
 LONGEST = 5
 #: Labelled rows of a language that the model learns from at most (a bound of the fit).
-ROWS = 4000
-#: Words, and n-grams of each length, that the model keeps of a language at most, the most frequent first.
-KEPT = 20_000
+ROWS = 2000
 #: Scores of words a worker keeps.
 CACHE = 150_000
 UNKNOWN = "und"
@@ -114,17 +112,17 @@ class Judge:
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             self.rows[k] = self.model.of_word(w)
             self.at[w] = k
-        total = np.fromiter(count.values(), float, len(count)) @ self.rows[np.fromiter(map(self.at.__getitem__, count), np.int64, len(count))]
-        best = int(total.argmax())
-        return self.model.langs[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())
+        many = np.fromiter(count.values(), float, len(count))
+        mean = many @ self.rows[np.fromiter(map(self.at.__getitem__, count), np.int64, len(count))] / many.sum()
+        best = int(mean.argmax())
+        return self.model.langs[best], float(1 / np.exp(np.maximum(mean - mean[best], -700)).sum())
 
 
-def fit(labelled: DataFrame, rows: int = ROWS, kept: int = KEPT) -> Model:
-    """Learns from (text, lang, key): at most about ``rows`` rows of each language, chosen by a hash of the key.
+def fit(labelled: DataFrame, rows: int = ROWS) -> Model:
+    """Learns from (text, lang, key): about ``rows`` rows of each language at most, chosen by a hash of the key.
 
-    The counts of what is read are bounded by ``rows``, the model by ``kept`` entries a table
-    and language.  Rows with a null text or language are not used; an empty table
-    gives a model without languages.
+    All that those rows hold is counted and kept, so ``rows`` bounds the model.  Rows with a
+    null text or language are not used; an empty table gives a model without languages.
     """
     labelled = labelled.filter("text IS NOT NULL AND lang IS NOT NULL")
     size = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # as many rows as languages
@@ -150,9 +148,8 @@ def fit(labelled: DataFrame, rows: int = ROWS, kept: int = KEPT) -> Model:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(table)), pa.array([n] * len(table), pa.int32()), pa.array([*table]), pa.array([*table.values()], pa.int64())], ["lang", "n", "gram", "c"])
 
     total = chosen.mapInArrow(releasing(counted), "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))
     counts: dict[tuple[str, int], dict[str, int]] = defaultdict(dict)
-    for r in total.withColumn("k", rank).filter(F.col("k") <= kept).select("lang", "n", "gram", "c").toLocalIterator():  # kept rows a language and length
+    for r in total.toLocalIterator():  # what is in the chosen rows
         counts[r["lang"], r["n"]][r["gram"]] = r["c"]
     return Model.of_counts(counts)
 

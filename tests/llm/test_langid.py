@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -22,17 +24,66 @@ def test_held_out_accuracy(documents):
     assert all(0 <= g["score"] <= 1 for g in got)
 
 
+def totals(counts, langs):
+    """Of each length, the entries that any language has, and each language's sum of counts."""
+    return {n: (set().union(*(counts.get((x, n), {}) for x in langs)), {x: sum(counts.get((x, n), {}).values()) for x in langs}) for n in range(langid.LONGEST + 1)}
+
+
+def plain_word(counts, langs, word, sums):
+    """Scores of a word by the method, straight from counts (lang, n) to {gram: count}."""
+    for n in (0, *range(langid.LONGEST, 0, -1)):
+        known, total = sums[n]
+        padded = f" {word} "
+        found = [g for g in ([word] if n == 0 else [padded[i : i + n] for i in range(len(padded) - n + 1)]) if g in known]
+        if found:
+            out = []
+            for x in langs:
+                c = counts.get((x, n), {})
+                out.append(np.mean([math.log((c.get(g, 0) + 0.5) / (total[x] + 0.5 * len(known))) for g in found]))
+            return np.array(out)
+    return np.zeros(len(langs))
+
+
+def plain_judge(counts, text, sums=None):
+    langs = sorted({x for x, _ in counts})
+    sums = sums or totals(counts, langs)
+    mean = np.mean([plain_word(counts, langs, w, sums) for w in langid.words(text)], axis=0)
+    share = np.exp(mean - mean.max()) / np.exp(mean - mean.max()).sum()
+    return langs[int(share.argmax())], share.max()
+
+
 def test_like_plain_scores():
-    model = langid.Model.of_counts({("a", 0): {"der": 5, "x": 1}, ("b", 0): {"the": 4}, ("a", 1): {"d": 2, "e": 3}, ("b", 1): {"t": 2, "h": 2}, ("b", 2): {"he": 3}})
+    counts = {("a", 0): {"der": 5, "x": 1}, ("b", 0): {"the": 4}, ("a", 1): {"d": 2, "e": 3}, ("b", 1): {"t": 2, "h": 2}, ("b", 2): {"he": 3}}
+    model = langid.Model.of_counts(counts)
     judge = langid.Judge(langid.Model.unpacked(model.packed()), cache=2)
     for text in ["der der the", "hen", "zz", "Der, THE!", "the dd tt he", "é ß"]:
-        total = sum(model.of_word(w) for w in langid.words(text))
-        share = np.exp(total - total.max()) / np.exp(total - total.max()).sum()
-        assert judge.judge(text) == (model.langs[int(total.argmax())], pytest.approx(share.max()))
-    assert model.of_word("hen") is not None and judge.judge("zz") == ("a", 0.5)
+        lang, score = plain_judge(counts, text)
+        assert judge.judge(text) == (lang, pytest.approx(score))
+        assert judge.judge(" ".join([text] * 7)) == (lang, pytest.approx(score))  # length makes no surer
+    assert judge.judge("zz") == ("a", 0.5)
     assert (model.of_word("hen") == model.values[2][model.tables[2]["he"]]).all()  # the longest known length decides
 
 
+def test_table_like_brute_force(documents):
+    """Counts and predictions of a whole table against plain ones."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in documents.collect()]
+    counts = defaultdict(Counter)
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1 and text and lang:
+            for w in langid.words(text):
+                counts[lang, 0][w] += 1
+                for n in range(1, langid.LONGEST + 1):
+                    padded = f" {w} "
+                    for k in range(len(padded) - n + 1):
+                        counts[lang, n][padded[k : k + n]] += 1
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(documents).collect()}
+    sums = totals(counts, sorted({x for x, _ in counts}))
+    for i, text, _ in rows[::25]:
+        if langid.words(text):
+            lang, score = plain_judge(counts, text, sums)
+            assert got[i] == (lang, pytest.approx(score)), i
+
+
 def test_words():
     assert langid.words("L'été 2nd x²y a_b Ⅷ") == ["l", "été", "nd", "x", "y", "a", "b"]
     assert langid.words(None) == langid.words("12 -- 3") == []
