@@ -4,10 +4,9 @@ A document is the set of its five-word shingles.  Its minwise tokens are the lea
 hashes of the set under ``COORDINATES`` functions; two documents share each with
 the probability of their Jaccard similarity.  In each of ``TREES`` independent trees a
 document goes down from the root: at every node some coordinates are chosen (one,
-and a second in a third of the nodes, 4/3 = 1/threshold on average; two below depth
-``WIDE``, so that deep levels lose no pairs), and the document branches by its tokens there.
-What meets in a small node is compared exhaustively by the sketches; a large node
-branches on until it is small.  Pairs that look similar become links only by an exact
+and a second in a third of the nodes, 4/3 = 1/threshold on average), and the document
+branches by its tokens there.  What meets in a small node is compared exhaustively by the
+sketches; a large node branches on, ``DEPTH`` levels at most.  Pairs that look similar become links only by an exact
 comparison of the full sets.
 
 Work is kept from growing with the square of a group:
@@ -19,9 +18,11 @@ Work is kept from growing with the square of a group:
   found in the nodes;
 * in small nodes the documents that look similar to one of another component are compared
   by their full sets there, and only a forest of their links goes on;
-* what has not become small at the last depth holds documents that share most of their
-  tokens; there all outside the largest component are compared with the others, by their
-  full sets, in blocks.
+* in nodes that are still large at the last depth, only documents outside the largest
+  component are compared with the others, by their full sets, in blocks.
+
+Texts are read again once, for the documents that look similar to another one or are in a large
+node at the first depth: all that any level may have to confirm.
 
 A tree node is one key of the joins that follow.  Nodes with more than a task's share of
 the rows, of which there are fewer than tasks, are joined by broadcast where their rows are.
@@ -44,11 +45,9 @@ WORDS = 5
 #: Similarity of a link: 100 * intersection >= 75 * union.
 NEAR = 75
 COORDINATES = 128
-#: A pair at the threshold misses all trees with probability 2e-9 at depth 1, 8e-7 at depth 2, under 5e-6 at any (see ``miss``).
+#: A pair at the threshold misses all trees with probability 2e-9 at depth 1, 8e-7 at depth 2, 2e-5 at depth 3 (see ``miss``).
 TREES = 12
-#: Levels, and the last with one coordinate or two.
-DEPTH = 8
-WIDE = 2
+DEPTH = 3
 #: Documents of a node that is compared exhaustively.
 SMALL = 256
 #: Sketch similarity (in 128ths) from which a pair is confirmed: 0.75 less four standard deviations.  All trees
@@ -116,10 +115,9 @@ def _chosen(node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, second, (r >> np.uint64(40)) % np.uint64(3) == 0
 
 
-def children(node: np.ndarray, tokens: np.ndarray, depth: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """For nodes and their documents' tokens (a row each): rows and child nodes, which are at ``depth``."""
+def children(node: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For nodes and their documents' tokens (a row each): rows and child nodes."""
     first, second, both = _chosen(node)
-    both = both | (depth > WIDE)
     at = np.arange(len(node))
     one = _mix(node + np.uint64(1) + _mix(first + (tokens[at, first].astype(np.uint64) << np.uint64(8))))
     two = _mix(node + np.uint64(1) + _mix(second + (tokens[at, second].astype(np.uint64) << np.uint64(8))))
@@ -132,9 +130,9 @@ _ROOTS = _mix(np.arange(1, TREES + 1, dtype=np.uint64))
 def miss(similarity: float, depth: int, trees: int = TREES) -> float:
     """Probability that no tree brings a pair together at a depth."""
     meet = 1.0
-    for level in range(depth, 0, -1):  # from the leaves up
+    for _ in range(depth):
         apart = 1 - similarity * meet
-        meet = 1 - apart * apart if level > WIDE else 1 - (2 * apart + apart * apart) / 3
+        meet = 1 - (2 * apart + apart * apart) / 3
     return (1 - meet) ** trees
 
 
@@ -289,19 +287,14 @@ def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["src", "dst"])
 
 
-def _branch(depth: int):
-    """Rows (path, node, sketch) to the nodes of the level ``depth``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                path = batch.column(0).to_numpy().view(np.uint64)
-                nodes = batch.column(1).to_numpy()
-                s = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(len(path), COORDINATES)
-                rows, child = children(path, s, depth)
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(nodes[rows])], ["path", "node"])
-
-    return run
+def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            path = batch.column(0).to_numpy().view(np.uint64)
+            nodes = batch.column(1).to_numpy()
+            s = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(len(path), COORDINATES)
+            rows, child = children(path, s)
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(nodes[rows])], ["path", "node"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,15 +326,14 @@ class _Join:
         self.comps: DataFrame | None = None
         self.sets: DataFrame | None = None
 
-    def by_path(self, rows: DataFrame, about: DataFrame) -> DataFrame:
-        """Joins rows (path, ...) with a row a tree node (path, n, ...), n the number of its rows.
+    def by_path(self, rows: DataFrame, about: DataFrame, total: int) -> DataFrame:
+        """Joins rows (path, ...), ``total`` of them, with a row a tree node (path, n, ...), n the number of its rows.
 
         Fewer nodes than there are tasks have more than a task's share of the rows; these go to
         where the rows are, so that no task gets one node's rows.
         """
-        many = (about.agg(F.sum("n")).first()[0] or 0) / self.tasks
-        hot = F.broadcast(about.filter(F.col("n") > many))  # fewer rows than tasks
-        rest = rows.join(hot.select("path"), "path", "left_anti").join(about.filter(F.col("n") <= many), "path")
+        hot = F.broadcast(about.filter(F.col("n") > total / self.tasks))  # fewer rows than tasks
+        rest = rows.join(hot.select("path"), "path", "left_anti").join(about.filter(F.col("n") <= total / self.tasks), "path")
         return rows.join(hot, "path").unionByName(rest)
 
     def with_comp(self, df: DataFrame, node: str = "node", name: str = "comp") -> DataFrame:
@@ -354,13 +346,10 @@ class _Join:
 
         What is left comes again from its tree nodes, as they stay mixed.
         """
-        left = stored(self.with_comp(self.with_comp(candidates, "a", "ca"), "b", "cb").filter("ca <> cb"), "open")
-        if left.isEmpty():
-            return
+        left = self.with_comp(self.with_comp(candidates, "a", "ca"), "b", "cb").filter("ca <> cb")
         # the best of each component by an aggregate, so that no component is gathered in one task
         both = left.select("a", "b", "alike", F.explode(F.array("ca", "cb")).alias("c"))
-        picked = stored(both.groupBy("c").agg(F.max(F.struct("alike", "a", "b")).alias("m")).select("m.a", "m.b").distinct(), "picked")
-        self.gather_sets(picked.select(F.explode(F.array("a", "b")).alias("node")))
+        picked = both.groupBy("c").agg(F.max(F.struct("alike", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
         self.link(self.confirm(picked))
 
     def link(self, edges: DataFrame) -> None:
@@ -368,25 +357,19 @@ class _Join:
         self.links = edges if self.links is None else self.links.unionByName(edges)
         self.comps = stored(connected_components(self.links), "components")
 
+    def near(self, small: DataFrame) -> DataFrame:
+        """Of small nodes (path, node, comp, sketch), the documents (path, node, comp) that look similar to one of another component."""
+        return small.repartition("path").sortWithinPartitions("path").select("path", "node", "comp", "sketch").mapInArrow(_candidates, "path long, node long, comp long")
+
     def settle(self, small: DataFrame) -> None:
         """Compares small nodes (path, node, comp, sketch) exhaustively: by sketch, then the documents that are left by their full sets."""
-        near = small.repartition("path").sortWithinPartitions("path").select("path", "node", "comp", "sketch").mapInArrow(_candidates, "path long, node long, comp long")
-        near = stored(near, "near")
-        if near.isEmpty():
-            return
-        self.gather_sets(near.select("node"))
-        rows = near.join(self.sets, "node").select("path", "node", "comp", "s").repartition("path").sortWithinPartitions("path")
+        rows = self.near(small).join(self.sets, "node").select("path", "node", "comp", "s").repartition("path").sortWithinPartitions("path")
         self.link(rows.mapInArrow(releasing(_exact), "src long, dst long"))
 
     def gather_sets(self, wanted: DataFrame) -> None:
-        """Writes the full sets of documents (node) that are not there yet."""
-        wanted = wanted.distinct()
-        if self.sets is not None:
-            wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
+        """Writes the full sets of documents (node)."""
         # written, so that Spark knows its size and broadcasts it only if it is small
-        wanted = stored(self.nodes.select("node", F.col("doc_id").alias("id"), F.col("h").alias("ih"), "key1").join(wanted, "node"), "wanted")
-        if wanted.isEmpty():
-            return
+        wanted = stored(self.nodes.select("node", F.col("doc_id").alias("id"), F.col("h").alias("ih"), "key1").join(wanted.distinct(), "node"), "wanted")
 
         def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import xxhash
@@ -406,7 +389,7 @@ class _Join:
         new = stored(texts.select("node", "key1", "text").mapInArrow(releasing(full), "node long, s binary"), "sets")
         if new.count() > wanted.count():  # rows of one doc_id and text
             new = stored(new.dropDuplicates(["node"]), "sets")
-        self.sets = new if self.sets is None else self.sets.unionByName(new)
+        self.sets = new
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         a, b = self.sets.toDF("a", "x"), self.sets.toDF("b", "y")
@@ -414,35 +397,41 @@ class _Join:
 
     def run(self) -> None:
         paths = self.nodes.select(F.explode("paths").alias("path"), "node")
+        sketches = self.nodes.select("node", "sketch")
         for depth in range(1, DEPTH + 1):
             paths = stored(self.with_comp(paths), "paths")
             size = paths.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.min(F.struct(F.xxhash64("node", "path").alias("h"), "node")).alias("any"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
             # small nodes of a group mostly have one centre, so few pairs; large nodes have different ones, so that most documents meet one that is near
-            size = size.filter("n > 1 AND c1 <> c2").select("path", "n", F.when(F.col("n") > SMALL, F.col("any.node")).otherwise(F.col("least")).alias("centre"))
-            rest = stored(self.by_path(paths, stored(size, "sizes")), "met")
-            self.take(self.compared(rest.filter("node <> centre").select("node", "centre")))
-            rest = self.mixed(rest)
-            self.settle(rest.filter(F.col("n") <= SMALL).select("path", "node", "comp").join(self.nodes.select("node", "sketch"), "node"))
-            large = rest.filter(F.col("n") > SMALL)
-            if large.isEmpty():
+            size = stored(size.filter("n > 1 AND c1 <> c2").select("path", "n", F.when(F.col("n") > SMALL, F.col("any.node")).otherwise(F.col("least")).alias("centre")), "sizes")
+            about = size.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
+            if not about["total"]:
                 return
-            large = self.mixed(large)
-            if large.isEmpty():
+            met = stored(self.by_path(paths, size, about["total"]), "met")
+            if depth == 1:
+                large = met.filter(F.col("n") > SMALL).select("node")
+                self.gather_sets(self.near(met.filter(F.col("n") <= SMALL).join(sketches, "node")).select("node").unionByName(large))
+            self.take(self.compared(met.filter("node <> centre").select("node", "centre"), sketches))
+            met = self.mixed(met, about["total"])
+            self.settle(met.filter(F.col("n") <= SMALL).join(sketches, "node"))
+            if about["most"] <= SMALL:
                 return
+            large = met.filter(F.col("n") > SMALL)
             if depth < DEPTH:
-                paths = large.join(self.nodes.select("node", "sketch"), "node").select("path", "node", "sketch").mapInArrow(_branch(depth + 1), "path long, node long").distinct()
+                rows = large.join(sketches, "node").select("path", "node", "sketch")
+                paths = rows.mapInArrow(_branch, "path long, node long").distinct()
+                # the next level has no other documents
+                sketches = stored(sketches.join(large.select("node").distinct(), "node", "left_semi"), "sketches")
             else:
-                self.strays(large)
+                self.strays(self.mixed(large, about["total"]))
 
-    def mixed(self, met: DataFrame) -> DataFrame:
+    def mixed(self, met: DataFrame, total: int) -> DataFrame:
         """Rows (path, node, n, comp) of the tree nodes that are not one component yet."""
-        now = self.with_comp(met.select("path", "node", "n"))
+        now = self.with_comp(met.select("path", "node"))
         several = now.groupBy("path").agg(F.count("*").alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("path", "n")
-        return stored(self.by_path(now.drop("n"), stored(several, "several")), "mixed")
+        return stored(self.by_path(now, stored(several, "several"), total), "mixed")
 
-    def compared(self, pairs: DataFrame) -> DataFrame:
+    def compared(self, pairs: DataFrame, sketch: DataFrame) -> DataFrame:
         """Sketch similarity of different (node, centre) pairs, those near enough."""
-        sketch = self.nodes.select("node", "sketch")
         pairs = pairs.repartition("node").dropDuplicates(["node", "centre"])
         rows = pairs.join(sketch, "node").join(sketch.toDF("centre", "other"), "centre")
 
@@ -459,10 +448,10 @@ class _Join:
 
     def strays(self, rest: DataFrame) -> None:
         """Large nodes at the last depth: all documents outside a node's largest component, in blocks, against the node by their full sets."""
-        self.gather_sets(rest.select("node"))
         counts = rest.groupBy("path", "comp").agg(F.count("*").alias("n")).groupBy("path").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("n"))
         main = counts.select("path", "n", F.col("m.comp").alias("main"), (1 + F.floor((F.col("n") - F.col("m.n")) / STRAYS)).alias("blocks"))
-        rows = self.by_path(rest.select("path", "node", "comp"), stored(main, "main")).join(self.sets, "node")
+        main = stored(main, "main")
+        rows = self.by_path(rest.select("path", "node", "comp"), main, main.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).join(self.sets, "node")
         own = F.when(F.col("comp") != F.col("main"), F.struct(F.pmod(F.xxhash64("node"), "blocks").alias("block"), F.lit(0).alias("member")))
         places = F.array_compact(F.concat(F.array(own), F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(k.alias("block"), F.lit(1).alias("member")))))
         dealt = rows.select("path", F.inline(places), "node", "comp", "s")
