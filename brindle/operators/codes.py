@@ -1,7 +1,7 @@
 """Huffman and Golomb codes, run lengths, bit packing and their inverses.
 
-Code tables come from a heap over the alphabet, which is bounded and checked; all
-that touches the data is joins, aggregates and packing by blocks.
+Code tables come from a heap over the alphabet, which is bounded and checked, a task a
+table; all that touches the data is joins, aggregates and packing by blocks.
 """
 
 from __future__ import annotations
@@ -10,14 +10,18 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.storage import stored
 
-#: Symbols of an alphabet at most; the table is built in the driver and broadcast.
+#: Symbols of an alphabet at most; the table is built in one task and broadcast.
 ALPHABET = 1 << 16
+#: Bits that the decoder looks up at once.
+WINDOW = 12
 
 
 def frequencies(symbols: DataFrame, *by: str) -> DataFrame:
@@ -47,20 +51,21 @@ def canonical(lengths: dict[object, int]) -> dict[object, int]:
 
 
 def codebook(freqs: DataFrame, *by: str) -> DataFrame:
-    """``by..., symbol, n, len, code``; one book a group.  The alphabets are collected, behind a check of their size."""
-    rows = freqs.select(*by, "symbol", "n").limit(ALPHABET + 1).collect()
-    if len(rows) > ALPHABET:
+    """``by..., symbol, n, len, code``; one book a group, built by a task of its own, after a check of the largest alphabet."""
+    freqs = stored(freqs.select(*by, "symbol", F.col("n").cast("long").alias("n")), "freqs")
+    largest = freqs.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if largest > ALPHABET:
         raise ValueError(f"more than {ALPHABET} symbols")
-    groups: dict[tuple, list] = {}
-    for r in rows:
-        groups.setdefault(tuple(r[b] for b in by), []).append((r["symbol"], r["n"]))
-    out = []
-    for g, f in groups.items():
+
+    def book(g: pd.DataFrame) -> pd.DataFrame:
+        f = sorted(zip(g["symbol"].tolist(), g["n"].tolist(), strict=True))
         lengths = code_lengths(f)
-        codes = canonical(lengths)
-        out += [(*g, s, n, lengths[s], codes[s]) for s, n in f]
-    schema = freqs.select(*by, "symbol").schema.add("n", T.LongType()).add("len", T.IntegerType()).add("code", T.LongType())
-    return freqs.sparkSession.createDataFrame(out, schema)
+        words = canonical(lengths)
+        first = {b: g[b].iloc[0] for b in by}
+        return pd.DataFrame({**first, "symbol": [s for s, _ in f], "n": [n for _, n in f], "len": [lengths[s] for s, _ in f], "code": [words[s] for s, _ in f]})
+
+    schema = T.StructType([*freqs.schema.fields, T.StructField("len", T.IntegerType()), T.StructField("code", T.LongType())])
+    return stored(freqs.groupBy(*by).applyInPandas(book, schema), "book")
 
 
 def encoded(symbols: DataFrame, book: DataFrame, *by: str) -> DataFrame:
@@ -82,7 +87,7 @@ def packed(words: DataFrame, order: str = "pos", block: int = 4096, *by: str) ->
             n, c = np.array(lengths, np.int64), np.array(codes, np.int64)
             ends = np.cumsum(n)
             which = np.repeat(np.arange(len(n)), n)
-            shift = ends[which] - np.arange(ends[-1] if len(ends) else 0) - 1
+            shift = np.minimum(ends[which] - np.arange(ends[-1] if len(ends) else 0) - 1, 63)  # a word may begin with many zeros
             stream = ((c[which] >> shift) & 1).astype(np.uint8)
             return {**dict(zip([*by, "block"], now, strict=True)), "n": len(n), "n_bits": len(stream), "payload": np.packbits(stream).tobytes()}
 
@@ -111,14 +116,25 @@ def packed(words: DataFrame, order: str = "pos", block: int = 4096, *by: str) ->
 
 def decode_bits(payload: bytes, n: int, table: dict[tuple[int, int], object]) -> list:
     """The first ``n`` symbols of a packed block (C3, J6); table: (length, code) to symbol."""
-    out, code, length = [], 0, 0
-    for bit in np.unpackbits(np.frombuffer(payload, np.uint8)):
-        if len(out) == n:
-            break
-        code, length = 2 * code + int(bit), length + 1
-        if (length, code) in table:
-            out.append(table[length, code])
-            code = length = 0
+    bits = np.unpackbits(np.frombuffer(payload, np.uint8))
+    # the next WINDOW bits at every place, and for each such number the word that it begins with
+    padded = np.concatenate([bits, np.zeros(WINDOW, np.uint8)]).astype(np.int64)
+    ahead = sum(padded[j : j + len(bits)] << (WINDOW - 1 - j) for j in range(WINDOW)).tolist() if len(bits) else []
+    short: list = [None] * (1 << WINDOW)
+    for (length, code), symbol in table.items():
+        if length <= WINDOW:
+            lo = code << (WINDOW - length)
+            short[lo : lo + (1 << (WINDOW - length))] = [(length, symbol)] * (1 << (WINDOW - length))
+    out, at = [], 0
+    for _ in range(n):
+        found = short[ahead[at]]
+        if found is None:  # a longer word
+            length, code = WINDOW, ahead[at]
+            while (length, code) not in table:
+                code, length = 2 * code + int(bits[at + length]), length + 1
+            found = length, table[length, code]
+        at += found[0]
+        out.append(found[1])
     return out
 
 
@@ -142,12 +158,35 @@ def decoded(blocks: DataFrame, book: DataFrame, *by: str, block: int = 4096) ->
     return blocks.select(*by, "block", "n", "payload").mapInArrow(read, ddl)
 
 
-def golomb_decode(stream: str, k: int) -> list[int]:
-    """Values of Golomb words, for any k."""
+def golomb_words(v: Column, k: int) -> list[Column]:
+    """``len`` and ``code`` of a value's Golomb word (C9); its zeros in front are in the length alone."""
+    b = (k - 1).bit_length()
+    short = (1 << b) - k  # remainders with one bit less
+    r = F.pmod(v, F.lit(k)).cast("long")
+    less = (r < short) if short not in (0, 1 << b) else F.lit(False)
+    bits = F.when(less, b - 1).otherwise(b)
+    tail = F.when(less, r).otherwise(r + (short if short not in (0, 1 << b) else 0))
+    return [(F.floor(v / k) + 1 + bits).cast("long").alias("len"), (F.when(less, 1 << max(b - 1, 0)).otherwise(1 << b) + tail).cast("long").alias("code")]
+
+
+def golomb_decoded(blocks: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """``pos, symbol`` of packed Golomb words: every block is decoded apart."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, n, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                stream = "".join(map(str, np.unpackbits(np.frombuffer(payload, np.uint8)).tolist()))
+                yield pa.RecordBatch.from_arrays([pa.array(range(b * block, b * block + n), pa.int64()), pa.array(golomb_decode(stream, k, n), pa.int64())], ["pos", "symbol"])
+
+    return blocks.select("block", "n", "payload").mapInArrow(read, "pos long, symbol long")
+
+
+def golomb_decode(stream: str, k: int, n: int | None = None) -> list[int]:
+    """Values of Golomb words, all or the first n, for any k."""
     b = (k - 1).bit_length()
     short = (1 << b) - k
     out, at = [], 0
-    while at < len(stream):
+    while at < len(stream) if n is None else len(out) < n:
         q = stream.index("1", at) - at
         at += q + 1
         r = 0

@@ -49,20 +49,39 @@ def _blocks(elements: DataFrame, block: int) -> DataFrame:
     return stored(rows.groupBy("layer", "b").applyInPandas(gather, "layer int, b int, ids array<long>, m binary"), "blocks")
 
 
-def _compared(elements: DataFrame, keep, block: int) -> DataFrame:
-    """All pairs of blocks of a layer; ``keep(distances)`` says which entries of a row of blocks stay."""
+def _compared(elements: DataFrame, keep, metric: str, block: int) -> DataFrame:
+    """All pairs of blocks of a layer, each pair once; ``keep(distances, ids, ids2)`` says which entries of a row of distances stay.
+
+    A block goes to every pair that it is in, and a pair is the key, so a task never has more
+    than two blocks at once, and no key has more than a pair.
+    """
     blocks = _blocks(elements, block)
-    other = blocks.select("layer", F.col("b").alias("b2"), F.col("ids").alias("ids2"), F.col("m").alias("m2"))
+    n = (blocks.agg(F.max("b")).first()[0] or 0) + 1
+    pair = blocks.select("layer", "b", "ids", "m", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("o"))
+    pair = pair.select("layer", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), (F.col("b") > F.col("o")).cast("int").alias("side"), "ids", "m")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for layer, ids, m, ids2, m2 in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                ids, ids2 = np.array(ids, np.int64), np.array(ids2, np.int64)
-                a, b = (np.frombuffer(x, "<i4").reshape(len(i), -1).astype(np.int64) for x, i in ((m, ids), (m2, ids2)))
-                src, dst, w = keep(a, b, ids, ids2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(src), layer, np.int32)), pa.array(src), pa.array(dst), pa.array(w)], ["layer", "src", "dst", "w"])
+        first = None
 
-    return blocks.join(other, "layer").select("layer", "ids", "m", "ids2", "m2").mapInArrow(compare, "layer int, src long, dst long, w long")
+        def rows(layer: int, found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            src, dst, w = found
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(src), layer, np.int32)), pa.array(src), pa.array(dst), pa.array(w)], ["layer", "src", "dst", "w"])
+
+        for batch in batches:
+            for layer, lo, hi, side, ids, m in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                ids = np.array(ids, np.int64)
+                m = np.frombuffer(m, "<i4").reshape(len(ids), -1).astype(np.int64)
+                if lo == hi:
+                    yield rows(layer, keep(_tile(m, m, metric), ids, ids))
+                elif not side:
+                    first = (layer, lo, hi), ids, m
+                elif first and first[0] == (layer, lo, hi):  # a block without elements has no rows
+                    d = _tile(first[2], m, metric)
+                    yield rows(layer, keep(d, first[1], ids))
+                    yield rows(layer, keep(d.T, ids, first[1]))
+
+    pair = pair.repartition("layer", "lo", "hi").sortWithinPartitions("layer", "lo", "hi", "side")
+    return pair.mapInArrow(compare, "layer int, src long, dst long, w long")
 
 
 def knn(elements: DataFrame, k: int, metric: str = "l2", block: int = BLOCK) -> DataFrame:
@@ -72,37 +91,37 @@ def knn(elements: DataFrame, k: int, metric: str = "l2", block: int = BLOCK) ->
     and the best of those are the result.
     """
 
-    def best(a: np.ndarray, b: np.ndarray, ids: np.ndarray, ids2: np.ndarray) -> tuple[np.ndarray, ...]:
-        d = _tile(a, b, metric)
-        d[ids[:, None] == ids2[None, :]] = np.iinfo(np.int64).max
+    def best(d: np.ndarray, ids: np.ndarray, ids2: np.ndarray) -> tuple[np.ndarray, ...]:
+        top = np.iinfo(np.int64).max
+        if ids is ids2:
+            d = d.copy()
+            np.fill_diagonal(d, top)
         n = min(k, d.shape[1])
-        src, dst, w = [], [], []
-        for i in range(len(ids)):
-            row = d[i]
-            if n < len(row):
-                at = np.flatnonzero(row <= np.partition(row, n - 1)[n - 1])
-            else:
-                at = np.arange(len(row))
-            at = at[np.lexsort((ids2[at], row[at]))][:n]
-            at = at[row[at] < np.iinfo(np.int64).max]
-            src.append(np.full(len(at), ids[i]))
-            dst.append(ids2[at])
-            w.append(row[at])
-        return tuple(map(np.concatenate, (src, dst, w)))
+        if 4 * n < d.shape[1]:
+            # nothing beyond a row's n-th distance is in; ties at it are cut below
+            keep = d <= np.partition(d, n - 1, axis=1)[:, n - 1 : n]
+            i, j = np.nonzero(keep)
+        else:
+            i, j = (x.ravel() for x in np.indices(d.shape))
+        w = d[i, j]
+        order = np.lexsort((ids2[j], w, i))
+        i, j, w = i[order], j[order], w[order]
+        at = np.arange(len(i)) - np.searchsorted(i, i)
+        on = (at < n) & (w < top)
+        return ids[i[on]], ids2[j[on]], w[on]
 
     rank = F.row_number().over(Window.partitionBy("layer", "src").orderBy("w", "dst"))
-    return _compared(elements, best, block).withColumn("rank", rank).filter(F.col("rank") <= k)
+    return _compared(elements, best, metric, block).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def within(elements: DataFrame, radius: int, metric: str = "l2", block: int = BLOCK) -> DataFrame:
     """Pairs no further apart than a radius (J3): ``layer, src, dst, w`` with src < dst."""
 
-    def near(a: np.ndarray, b: np.ndarray, ids: np.ndarray, ids2: np.ndarray) -> tuple[np.ndarray, ...]:
-        d = _tile(a, b, metric)
+    def near(d: np.ndarray, ids: np.ndarray, ids2: np.ndarray) -> tuple[np.ndarray, ...]:
         i, j = np.nonzero((d <= radius) & (ids[:, None] < ids2[None, :]))
         return ids[i], ids2[j], d[i, j]
 
-    return _compared(elements, near, block)
+    return _compared(elements, near, metric, block)
 
 
 def undirected(edges: DataFrame) -> DataFrame:

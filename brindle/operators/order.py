@@ -29,3 +29,18 @@ def with_previous(df: DataFrame, columns: list[str], back: int = 1, pos: str = "
     """
     before = df.select(*by, (F.col(pos) + back).alias(pos), *(F.col(c).alias(f"{c}_{back}") for c in columns))
     return df.join(before, [*by, pos], "left")
+
+
+def running_sums(df: DataFrame, columns: list[str], by: tuple[str, ...] = (), pos: str = "pos", size: int = 4096) -> DataFrame:
+    """Adds ``<column>_sum``: sums up to and with each position, in each group of ``by``.
+
+    Two levels: ranges of ``size`` positions have their sums, ranges before a range are
+    added up over those, and rows are only added up inside their range.
+    """
+    rows = df.withColumn("_r", F.floor(F.col(pos) / size))
+    total = rows.groupBy(*by, "_r").agg(*(F.sum(c).alias(f"_{c}") for c in columns))
+    before = Window.partitionBy(*by).orderBy("_r") if by else Window.orderBy("_r")  # a row a range
+    total = total.select(*by, "_r", *((F.sum(f"_{c}").over(before) - F.col(f"_{c}")).alias(f"_{c}") for c in columns))
+    inside = Window.partitionBy(*by, "_r").orderBy(pos)
+    rows = rows.withColumns({f"{c}_sum": F.sum(c).over(inside) for c in columns}).join(total, [*by, "_r"])
+    return rows.withColumns({f"{c}_sum": F.col(f"{c}_sum") + F.col(f"_{c}") for c in columns}).drop("_r", *(f"_{c}" for c in columns))

@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.functions.pixels import clipped, wrapped
 
@@ -49,6 +50,14 @@ def linear(x: Column, model: list[float]) -> Column:
     return total + F.lit(float(model[-1]))
 
 
+def linear_values(model: list[float], x: np.ndarray) -> np.ndarray:
+    """The same of rows of features, in the same order."""
+    total = np.zeros(len(x))
+    for k, w in enumerate(model[:-1]):
+        total = total + x[:, k] * float(w)
+    return total + float(model[-1])
+
+
 def errors(features: DataFrame, value: Column) -> DataFrame:
     """Clipped and truncated predictions and wrapped errors (M5)."""
     return features.withColumn("p", clipped(value)).withColumn("e", wrapped(F.col("y") - F.col("p")))
@@ -96,14 +105,37 @@ def model_tree(features: DataFrame, d: int, depth: int = 2) -> list:
     return rules
 
 
-def logistic_predictions(features: DataFrame, d: int, classes: int = 256, iterations: int = 20) -> DataFrame:
-    """Adds ``p``: the class of a multinomial logistic model (M3; deterministic, unlike stochastic descent)."""
+def logistic_model(features: DataFrame, d: int, iterations: int = 20) -> dict:
+    """A multinomial logistic model of one class a pixel value (M3; deterministic, unlike stochastic descent): ``coef, intercept``."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
     data = features.withColumns({"features": array_to_vector(F.transform("x", lambda v: v / 255.0)), "label": F.col("y").cast("double")})
     model = LogisticRegression(maxIter=iterations, regParam=0.001, family="multinomial").fit(data)
-    return model.transform(data).select(*features.columns, F.col("prediction").cast("int").alias("p"))
+    return {"coef": model.coefficientMatrix.toArray().tolist(), "intercept": model.interceptVector.toArray().tolist()}
+
+
+def logistic_values(model: dict, x: np.ndarray) -> np.ndarray:
+    """The likeliest class of rows of features, ties to the least; sums go in a fixed order, so they do not depend on the rows beside."""
+    coef, margin = np.array(model["coef"]), np.tile(np.array(model["intercept"]), (len(x), 1))
+    for k in range(coef.shape[1]):
+        margin = margin + (x[:, k, None] / 255.0) * coef[None, :, k]
+    return margin.argmax(axis=1).astype(np.int32)
+
+
+def logistic_predictions(features: DataFrame, d: int, iterations: int = 20) -> DataFrame:
+    """Adds ``p``: the class that the logistic model of these features gives them."""
+    model = logistic_model(features, d, iterations)
+    kinds = features.schema
+    names = [f.name for f in kinds]
+    at = names.index("x")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column(at).to_pylist(), float).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logistic_values(model, x))], [*names, "p"])
+
+    return features.mapInArrow(run, T.StructType([*kinds.fields, T.StructField("p", T.IntegerType())]))
 
 
 def decode_linear(first: DataFrame, coded: DataFrame, edges: DataFrame, rows: int, cols: int, current: list, previous: list, n_previous: int, model: list[float]) -> DataFrame:
@@ -144,8 +176,8 @@ def accuracy(predicted: DataFrame) -> DataFrame:
     return predicted.agg(F.avg((F.col("p") == F.col("y")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
 
 
-def compressed_size(df: DataFrame, column: str, level: int = 6) -> DataFrame:
-    """Adds gzip, bz2 and xz sizes of a text column's values (S20); a null counts as empty."""
+def compressed_size(df: DataFrame, column: str, level: int = 9) -> DataFrame:
+    """Adds gzip (level 9), bz2 (9) and xz (preset 6) sizes of a text column's values (S20); a null counts as empty."""
     import bz2
     import gzip
     import lzma
@@ -156,7 +188,7 @@ def compressed_size(df: DataFrame, column: str, level: int = 6) -> DataFrame:
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [(t or "").encode() for t in batch.column(len(names)).to_pylist()]
-            cols = [[len(r) for r in raw], [len(gzip.compress(r, level, mtime=0)) for r in raw], [len(bz2.compress(r)) for r in raw], [len(lzma.compress(r, preset=1)) for r in raw]]
+            cols = [[len(r) for r in raw], [len(gzip.compress(r, level, mtime=0)) for r in raw], [len(bz2.compress(r)) for r in raw], [len(lzma.compress(r, preset=6)) for r in raw]]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(c, pa.int64()) for c in cols)], [*names, "raw", "gz", "bz2", "xz"])
 
     return df.select(*names, column).mapInArrow(sizes, ddl)

@@ -11,8 +11,9 @@ from brindle.functions import pixels as P
 from brindle.functions import theory
 from brindle.operators import bitmap, codes, graph, predict, shape, tabular
 from brindle.operators.components import connected_components
-from brindle.operators.order import positions, with_previous
-from brindle.storage import stored
+from brindle.plans import predictive
+from brindle.operators.order import positions, running_sums, with_previous
+from brindle.storage import scratch_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -241,11 +242,10 @@ def adjacent_delta(spark, sf):
 
 @query(f"WITH {E}, {ORDER} SELECT pos, array_to_string(px, ',') AS px FROM o")
 def delta_inverse(spark, sf):
-    """Running modular sums give the images back (W2): one sequence a place, so places run side by side."""
+    """Running modular sums give the images back (W2), by ranges of positions."""
     first = ordered_images(spark, sf).filter("pos = 0").select("pos", F.col("px").alias("d"))
     cells = first.unionByName(deltas(spark, sf)).select("pos", F.posexplode("d").alias("k", "d"))
-    run = F.pmod(F.sum("d").over(Window.partitionBy("k").orderBy("pos")), F.lit(256)).cast("int")
-    return cells.withColumn("v", run).groupBy("pos").agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"])).alias("px"))
+    return running_sums(cells, ["d"], ("k",)).withColumn("v", P.wrapped(F.col("d_sum"))).groupBy("pos").agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"])).alias("px"))
 
 
 @query(f"WITH {E}, {ORDER}, {DELTA} SELECT pos, CAST(k AS INTEGER) AS col, CAST(v AS INTEGER) AS v FROM d WHERE pos > 0 AND v <> 0")
@@ -577,6 +577,80 @@ def rule_model_average(spark, sf):
     return predict.errors(contexts(spark, sf, 0), predict.rules_value(F.col("x"), RULES)).groupBy("e").agg(F.count("*").alias("n"))
 
 
+def _predictive(spark, sf, encoder: str, family: str = "linear", model: dict | None = None, n_previous: int = 0, channels: int = 1, restart: int = 0, previous: str = "DAB") -> tuple[DataFrame, str]:
+    """A predictive container of the images in order of id, 8 x 8 or the first 48 values as 4 x 4 x 3."""
+    placed = ordered_images(spark, sf).select("pos", "px")
+    if channels == 3:
+        placed = placed.select("pos", F.slice("px", 1, 48).alias("px"))
+    placed = stored(placed, "placed")
+    side = 4 if channels == 3 else 8
+    path = scratch_path(spark, "predictive")
+    predictive.compress(placed, path, predictive.Settings(side, side, channels, "DAB", previous, n_previous, restart), encoder, family, model)
+    return placed, path
+
+
+#: The mean of the left and the upper neighbour, as a model.
+FIXED = {"family": "linear", "models": [[0.5, 0.0, 0.5, 0.0]]}
+_STREAMS = f"WITH RECURSIVE {E}, {ORDER}, {G0}, er AS (SELECT (pos * 7 + r - 1) * 7 + c - 1 AS pos, (y - (d + b) // 2 + 256) % 256 AS v FROM g), re AS (SELECT v FROM (SELECT generate_subscripts(px, 1) - 1 AS k, unnest(px) AS v FROM o) WHERE k < 8 OR k % 8 = 0)"
+
+
+def _stream_heap(source: str) -> str:
+    return f"SELECT * FROM (WITH RECURSIVE f AS (SELECT CAST(v AS INTEGER) AS symbol, count(*) AS n FROM {source} GROUP BY v), {HEAP.format(f='f')} SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * len) AS BIGINT) AS n_bits FROM lens JOIN f USING (symbol))"
+
+
+@query(f"{_STREAMS} SELECT 'errors' AS stream, * FROM ({_stream_heap('er')}) UNION ALL SELECT 'residuals', * FROM ({_stream_heap('re')})")
+def pred_huffman_bits(spark, sf):
+    """Streams of a written container, a book for errors and one for residuals."""
+    return predictive.sizes(spark, _predictive(spark, sf, "pred-huff", model=FIXED)[1])
+
+
+@query(f"{_STREAMS} SELECT 'errors' AS stream, count(*) AS n, CAST(sum(v // 8 + 4) AS BIGINT) AS n_bits FROM er UNION ALL SELECT 'residuals', count(*), CAST(sum(v // 32 + 6) AS BIGINT) FROM re")
+def pred_golomb_stream_bits(spark, sf):
+    """Streams of a written container, Golomb codes of both (C11)."""
+    return predictive.sizes(spark, _predictive(spark, sf, "pred-golomb", model=FIXED)[1])
+
+
+@query(f"""{_STREAMS}, f AS (SELECT CAST(v AS INTEGER) AS symbol, count(*) AS n FROM er GROUP BY v), {HEAP.format(f='f')},
+r1 AS (SELECT pos, v, CASE WHEN v = lag(v) OVER (ORDER BY pos) THEN 0 ELSE 1 END AS st FROM er), r2 AS (SELECT v, sum(st) OVER (ORDER BY pos) AS run FROM r1), r3 AS (SELECT v, run, count(*) AS n FROM r2 GROUP BY v, run)
+SELECT 'errors' AS stream, count(*) AS n, CAST(sum(len) AS BIGINT) AS n_bits FROM r3 JOIN lens ON lens.symbol = r3.v UNION ALL SELECT 'lengths', count(*), CAST(sum(n // 8 + 4) AS BIGINT) FROM r3 UNION ALL SELECT 'residuals', * FROM ({_stream_heap('re')})""")
+def pred_huff_run_stream_bits(spark, sf):
+    """Streams of a written container, runs of errors."""
+    return predictive.sizes(spark, _predictive(spark, sf, "pred-huff-run", model=FIXED)[1])
+
+
+def _roundtrip(name: str, **kw):
+    def f(spark, sf):
+        placed, path = _predictive(spark, sf, **kw)
+        return _same(placed, predictive.decompress(spark, path))
+
+    f.__name__ = name
+    f.__doc__ = f"A written container gives every image back (M8, M10): {kw}."
+    return query("SELECT CAST(0 AS BIGINT) AS mismatches, count(*) AS elements FROM embeddings")(f)
+
+
+def _same(placed: DataFrame, back: DataFrame) -> DataFrame:
+    back = back.select("pos", F.col("px").alias("back"))
+    return placed.join(back, "pos", "full").agg(F.sum((~F.col("px").eqNullSafe(F.col("back"))).cast("long")).alias("mismatches"), F.count("*").alias("elements"))
+
+
+pred_huffman_roundtrip = _roundtrip("pred_huffman_roundtrip", encoder="pred-huff", n_previous=2, restart=64, previous="DABX")
+pred_golomb_roundtrip = _roundtrip("pred_golomb_roundtrip", encoder="pred-golomb", n_previous=1, restart=50)
+pred_huff_run_roundtrip = _roundtrip("pred_huff_run_roundtrip", encoder="pred-huff-run", n_previous=1, restart=0)
+pred_triple_roundtrip = _roundtrip("pred_triple_roundtrip", encoder="pred-huff", n_previous=1, restart=40, channels=3, previous="DABX")
+pred_rules_roundtrip = _roundtrip("pred_rules_roundtrip", encoder="pred-huff", family="rules", n_previous=1, restart=100)
+pred_logistic_roundtrip = _roundtrip("pred_logistic_roundtrip", encoder="pred-golomb", family="logistic", n_previous=0, restart=100)
+
+
+@query("SELECT CAST(0 AS BIGINT) AS mismatches, count(*) AS elements FROM embeddings")
+def pred_recode_roundtrip(spark, sf):
+    """Streams coded another way twice still give every image back."""
+    placed, path = _predictive(spark, sf, "pred-huff", n_previous=1, restart=128)
+    for encoder in ("pred-huff-run", "pred-golomb"):
+        path, before = scratch_path(spark, "recoded"), path
+        predictive.recode(spark, before, path, encoder)
+    return _same(placed, predictive.decompress(spark, path))
+
+
 @query()
 def model_tree_errors(spark, sf):
     """Code size of the errors of a model tree, a split and a linear model a leaf."""
@@ -587,9 +661,8 @@ def model_tree_errors(spark, sf):
 
 @query()
 def logistic_accuracy(spark, sf):
-    """Exact hits of a logistic model on 4-level pixels."""
-    f = contexts(spark, sf, 0).withColumn("y", F.floor((F.col("y") - 100) / 14).cast("int")).withColumn("y", F.greatest(F.lit(0), F.least(F.lit(3), "y")))
-    return predict.accuracy(predict.logistic_predictions(f, 3, 4, 5))
+    """Exact hits of a logistic model of one class a pixel value."""
+    return predict.accuracy(predict.logistic_predictions(stored(contexts(spark, sf, 0), "features"), 3))
 
 
 @query(f"""WITH RECURSIVE {E}, {ORDER}, {G0}, s AS (SELECT (pos * 7 + r - 1) * 7 + c - 1 AS pos, (y - (d + b) // 2 + 256) % 256 AS v FROM g),
@@ -616,7 +689,7 @@ def pred_golomb_bits(spark, sf):
 
 # -- tables
 
-@query("SELECT 'c_mktsegment' AS \"column\", coalesce(c_mktsegment, 'None') AS symbol, count(*) AS n FROM customer GROUP BY 2 UNION ALL SELECT 'c_nationkey', coalesce(CAST(c_nationkey AS VARCHAR), 'None'), count(*) FROM customer GROUP BY 2")
+@query("SELECT 'c_mktsegment' AS \"column\", coalesce('=' || c_mktsegment, '~') AS symbol, count(*) AS n FROM customer GROUP BY 2 UNION ALL SELECT 'c_nationkey', coalesce('=' || CAST(c_nationkey AS VARCHAR), '~'), count(*) FROM customer GROUP BY 2")
 def column_value_counts(spark, sf):
     return tabular.column_value_counts(table(spark, sf, "customer"), ["c_mktsegment", "c_nationkey"])
 
@@ -661,14 +734,50 @@ def quantizer_mse(spark, sf):
     return tabular.lloyd_step(sizes(spark, sf), _A).agg(F.round(F.sum("sq") / F.sum("n"), 6).alias("mse"))
 
 
-@query("SELECT CAST(16 AS BIGINT) AS centroids, CAST(16 AS BIGINT) AS filled, true AS settled")
-def lloyd_max_run(spark, sf):
-    """The best of several runs has no empty bin, and one more round gains nothing."""
+#: All runs from their starts, a round a step, until a bin is empty or the error falls by less than 1e-5; z is the state after it.
+LLOYD = """h AS (SELECT list(x ORDER BY x) AS xs, list(n ORDER BY x) AS ns, count(*) AS m FROM (SELECT CAST(p_size AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS n FROM part GROUP BY 1)),
+z(run, step, a, mse, over) AS (SELECT run, 0, list_transform(range(16), lambda i: xs[CAST((i * 4294967296 + ((run * 16 + i + 1) * 2654435761) % 4294967296) * m // (16 * 4294967296) AS BIGINT) + 1]), CAST('inf' AS DOUBLE), false FROM h, range(64) t(run)
+ UNION ALL SELECT run, step + 1, CASE WHEN empty OR mse - now < 1e-5 THEN a ELSE list_sort(means) END, CASE WHEN empty THEN -1 ELSE now END, empty OR mse - now < 1e-5
+ FROM (SELECT *, list_contains(sizes, 0) AS empty, list_sum(list_transform(range(1, m + 1), lambda q: power(xs[q] - a[js[q] + 1], 2) * ns[q])) / list_sum(ns) AS now,
+   list_transform(range(16), lambda j: round_even(list_sum(list_transform(range(1, m + 1), lambda q: CASE WHEN js[q] = j THEN xs[q] * ns[q] ELSE 0 END)) / greatest(sizes[j + 1], 1), 0)) AS means
+  FROM (SELECT *, list_transform(range(16), lambda j: list_sum(list_transform(range(1, m + 1), lambda q: CASE WHEN js[q] = j THEN ns[q] ELSE 0 END))) AS sizes
+   FROM (SELECT run, step, a, mse, m, xs, ns, list_transform(xs, lambda x: CAST(list_sum(list_transform(range(1, 16), lambda j: CASE WHEN x > (a[j] + a[j + 1]) / 2 THEN 1 ELSE 0 END)) AS BIGINT)) AS js FROM z, h WHERE NOT over))))"""
+
+
+@query(f"WITH RECURSIVE {LLOYD} SELECT CAST(run AS INTEGER) AS run, array_to_string(list_transform(a, lambda x: CAST(x AS INTEGER)), ',') AS centroids, round(mse, 9) AS mse FROM z WHERE over")
+def lloyd_max_runs(spark, sf):
+    """The fixed point that each of 64 starts comes to (L1)."""
     h = stored(sizes(spark, sf), "histogram")
-    a, mse = tabular.best_of(h, 16)
-    step = stored(tabular.lloyd_step(h, a), "step")
-    again = tabular.lloyd_step(h, sorted(r["new_a"] for r in step.collect())).agg(F.sum("sq") / F.sum("n")).first()[0]
-    return step.agg(F.lit(len(a)).cast("long").alias("centroids"), F.count("*").alias("filled"), F.lit(bool(mse - again < 1e-5)).alias("settled"))
+    runs = tabular.lloyd_max(h, tabular.starts(h, 16))
+    return spark.createDataFrame([(k, ",".join(str(int(x)) for x in a), round(mse, 9)) for k, (a, mse) in enumerate(runs)], "run int, centroids string, mse double")
+
+
+@query(f"WITH RECURSIVE {LLOYD} SELECT 16 AS bins, round(min(mse), 9) AS mse FROM z WHERE over AND mse >= 0")
+def lloyd_max_run(spark, sf):
+    """The least error of 64 starts (L4)."""
+    a, mse = tabular.best_of(sizes(spark, sf), 16)
+    return spark.createDataFrame([(len(a), round(mse, 9))], "bins int, mse double")
+
+
+@query("SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS added, count(*) AS n FROM orders")
+def tabular_roundtrip(spark, sf):
+    """A table's streams give all its rows back, in their order."""
+    df = table(spark, sf, "orders")
+    path = scratch_path(spark, "tabular")
+    tabular.compress_table(df, path)
+    back = tabular.decompress_table(spark, path)
+    return df.agg(F.count("*").alias("n")).select(F.lit(df.exceptAll(back).count()).alias("missing"), F.lit(back.exceptAll(df).count()).alias("added"), "n")
+
+
+_ORDER_HEAP = "SELECT * FROM (WITH RECURSIVE f AS (SELECT coalesce('=' || {c}, '~') AS symbol, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT '.', 0), {heap} SELECT '{c}' AS \"column\", CAST(sum(n * len) + max(CASE WHEN symbol = '.' THEN len END) AS BIGINT) AS n_bits FROM lens JOIN f USING (symbol))"
+
+
+@query(" UNION ALL ".join(_ORDER_HEAP.format(c=c, heap=HEAP.format(f="f")) for c in ("o_orderstatus", "o_orderpriority")))
+def tabular_stream_bits(spark, sf):
+    """Bits of the written streams, the end symbols (of weight 0) among them."""
+    path = scratch_path(spark, "tabular")
+    tabular.compress_table(table(spark, sf, "orders").select("o_orderstatus", "o_orderpriority"), path)
+    return spark.read.parquet(f"{path}/blocks").groupBy("column").agg(F.sum("n_bits").alias("n_bits"))
 
 
 # -- bitmaps

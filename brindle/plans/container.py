@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.pixels import wrapped, wrapped_difference
 from brindle.operators import codes, graph
-from brindle.operators.order import positions, with_previous
+from brindle.operators.order import positions, running_sums, with_previous
 from brindle.storage import stored
 
 ORDERS = ("mst", "diameter", "chain", "id")
@@ -85,8 +85,8 @@ def decompress(spark: SparkSession, path: str) -> DataFrame:
     else:
         symbols = codes.decoded(spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/book"), "layer")
         d = symbols.select("layer", (1 + F.floor(F.col("pos") / points)).alias("pos"), F.pmod("pos", F.lit(points)).cast("int").alias("k"), F.col("symbol").alias("d"))
-    run = wrapped(F.sum("d").over(Window.partitionBy("layer", "k").orderBy("pos")))
-    rows = first.unionByName(d).withColumn("v", run).groupBy("layer", "pos").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("s"))
+    cells = running_sums(first.unionByName(d), ["d"], ("layer", "k"))
+    rows = cells.withColumn("v", wrapped(F.col("d_sum"))).groupBy("layer", "pos").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("s"))
     return rows.join(place, ["layer", "pos"]).select("layer", "elem", F.transform("s", lambda x: x["v"]).alias("px"))
 
 
