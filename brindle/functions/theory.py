@@ -1,8 +1,8 @@
 """Entropy of multinomial counts: published bounds and the exact value, in nats.
 
-Bounds are sums over the categories of monomials c * n^a * p^b (and of log terms for
-categories that stay empty or get one ball).  Expressions are SQL text, so they can
-be used in any query: ``n``, ``p`` (probability) and ``q`` (a stand-in that is at least 2 / n).
+Bounds are sums over the categories, and of terms for categories that stay empty or get
+one ball.  Expressions are SQL text, so they can be used in any query: ``n`` (a double),
+``p`` (probability) and ``q`` (a stand-in that is at least 2 / n).
 """
 
 from __future__ import annotations
@@ -12,32 +12,21 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Coefficients of the published bounds, (coefficient, power of n, power of the probability).
-UPPER_Q = [(8 / 12, -1, 1), (-15 / 12, -1, 0), (8 / 12, -1, -1), (-24 / 12, -2, 1), (55 / 12, -2, 0), (-41 / 12, -2, -1), (10 / 12, -2, -2), (-3 / 6, -3, 0), (5 / 6, -3, -1), (-2 / 6, -3, -2)]
-UPPER_P = [(-3 / 64, 4, 3), (54 / 192, 3, 3), (5 / 192, 3, 2), (-99 / 192, 2, 3), (39 / 192, 2, 2), (-106 / 192, 2, 1), (27 / 96, 1, 3), (-76 / 96, 1, 2), (97 / 96, 1, 1), (-82 / 96, 1, 0), (27 / 48, 0, 2), (-76 / 48, 0, 1), (73 / 48, 0, 0), (27 / 24, -1, 1), (-76 / 24, -1, 0), (9 / 4, -2, 0)]
-LOWER_Q = [(-4 / 12, -1, 1), (9 / 12, -1, 0), (-5 / 12, -1, -1), (2 / 6, -2, 0), (-3 / 6, -2, -1), (1 / 6, -2, -2)]
-# the n^2 p^2 and n^2 p terms over 48 n are as published by the source of the inventory
-LOWER_P = [(1 / 48, 3, 2), (-3 / 48, 1, 2), (-10 / 48, 1, 1), (1 / 24, 1, 2), (3 / 24, 1, 1), (-23 / 24, 1, 0), (1 / 12, 0, 1), (-3 / 12, 0, 0), (1 / 6, -1, 0)]
-EMPTY = {"upper": [(-5 / 6, 0), (1 / 3, -1)], "lower": [(-1 / 3, 1), (-11 / 12, 0)]}
-SINGLE = {"upper": [(-11 / 3, 0), (9 / 2, -1), (-9 / 4, -2), (1 / 2, -3)], "lower": [(-1 / 3, 1), (-29 / 12, 0), (5 / 2, -1), (-11 / 12, -2), (1 / 6, -3)]}
-
-
-def _sum(terms: list[tuple[float, int, int]], x: str) -> str:
-    return "(" + " + ".join(f"({c!r} * power(n, {a}) * power({x}, {b}))" for c, a, b in terms) + ")"
-
-
-def _nq(terms: list[tuple[float, int]]) -> str:
-    return " + ".join(f"({c!r} * power(n * q, {a}))" for c, a in terms)
-
-
-def _log_terms(side: str) -> str:
-    half = f"0.5 * ln({2 * math.pi!r} * n * q)"
-    return f"(power(1 - p, n) * ({half} + {_nq(EMPTY[side])}) + n * p * power(1 - p, n - 1) * ({half} + ln(n * q) + {_nq(SINGLE[side])}))"
-
+# The published bounds, term by term.
+UPPER_Q = "(8 * q * q - 15 * q + 8) / (12 * n * q) - (24 * q * q * q - 55 * q * q + 41 * q - 10) / (12 * n * n * q * q) - (3 * q * q - 5 * q + 2) / (6 * n * n * n * q * q)"
+UPPER_P = "-3 * n * n * n * n * p * p * p / 64 + (54 * n * n * n * p * p * p + 5 * n * n * n * p * p - 99 * n * n * p * p * p + 39 * n * n * p * p - 106 * n * n * p) / 192 + (27 * n * p * p * p - 76 * n * p * p + 97 * n * p - 82 * n) / 96 + (27 * p * p - 76 * p + 73) / 48 + (27 * p - 76) / (24 * n) + 9 / (4 * n * n)"
+LOWER_Q = "(-4 * q * q + 9 * q - 5) / (12 * n * q) + (2 * q * q - 3 * q + 1) / (6 * n * n * q * q)"
+# the n^3 p^2 and n p^2 terms over 48 are as published by the source of the inventory
+LOWER_P = "(n * n * n * p * p - 3 * n * p * p - 10 * n * p) / 48 + (n * p * p + 3 * n * p - 23 * n) / 24 + (p - 3) / 12 + 1 / (6 * n)"
+EMPTY_UPPER = "-5.0 / 6 + 1 / (3 * n * q)"
+EMPTY_LOWER = "-n * q / 3 - 11.0 / 12"
+SINGLE_UPPER = "-11.0 / 3 + 9 / (2 * n * q) - 9 / (4 * n * n * q * q) + 1 / (2 * n * n * n * q * q * q)"
+SINGLE_LOWER = "-n * q / 3 - 29.0 / 12 + 5 / (2 * n * q) - 11 / (12 * n * n * q * q) + 1 / (6 * n * n * n * q * q * q)"
+HALF = f"0.5 * ln({2 * math.pi!r} * n * q)"
 
 #: Terms of one category.
-G_UPPER_Q, G_UPPER_P = f"({_sum(UPPER_Q, 'q')} - {_log_terms('upper')})", _sum(UPPER_P, "p")
-G_LOWER_Q, G_LOWER_P = f"({_sum(LOWER_Q, 'q')} - {_log_terms('lower')})", _sum(LOWER_P, "p")
+G_UPPER = f"({UPPER_Q} - power(1 - p, n) * ({HALF} + {EMPTY_UPPER}) - n * p * power(1 - p, n - 1) * ({HALF} + ln(n * q) + {SINGLE_UPPER}) + (q - p) * ({UPPER_P}))"
+G_LOWER = f"({LOWER_Q} - power(1 - p, n) * ({HALF} + {EMPTY_LOWER}) - n * p * power(1 - p, n - 1) * ({HALF} + ln(n * q) + {SINGLE_LOWER}) + (q - p) * ({LOWER_P}))"
 
 
 def bounds_sql(source: str) -> str:
@@ -48,7 +37,7 @@ def bounds_sql(source: str) -> str:
     return f"""SELECT id, n,
  a - k + sum_u AS upper_nats, a - 1 / (12.0 * n) - k + sum_l AS lower_nats
 FROM (SELECT id, n, 0.5 * ((count(*) - 1) * ln({2 * math.pi * math.e!r} * n) + sum(ln(q))) AS a, n * sum(p * ln(p / q)) AS k,
- sum({G_UPPER_Q} + (q - p) * {G_UPPER_P}) AS sum_u, sum({G_LOWER_Q} + (q - p) * {G_LOWER_P}) AS sum_l
+ sum({G_UPPER}) AS sum_u, sum({G_LOWER}) AS sum_l
  FROM (SELECT id, CAST(n AS DOUBLE) AS n, p, greatest(p, 2.0 / n) AS q FROM {source}) z GROUP BY id, n) y"""
 
 

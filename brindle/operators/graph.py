@@ -336,3 +336,16 @@ def centrality(tree: DataFrame) -> DataFrame:
         return pd.DataFrame([(g["layer"].iloc[0], *r) for r in rows], columns=["layer", "node", "n", "total", "farthest"])
 
     return tree.groupBy("layer").applyInPandas(measure, "layer int, node long, n long, total long, farthest long")
+
+
+def paths(tree: DataFrame) -> DataFrame:
+    """``layer, root, node, path``: the nodes from the least node of each tree to every other one (G10), predecessor by predecessor."""
+
+    def walk(g: pd.DataFrame) -> pd.DataFrame:
+        out, above = [], {}
+        for x, parent in depth_first(list(zip(g["src"].tolist(), g["dst"].tolist(), strict=True))):
+            above[x] = [*above[parent], x] if parent is not None else [x]
+            out.append((g["layer"].iloc[0], above[x][0], x, above[x]))
+        return pd.DataFrame(out, columns=["layer", "root", "node", "path"])
+
+    return tree.groupBy("layer").applyInPandas(walk, "layer int, root long, node long, path array<long>")

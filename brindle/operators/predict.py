@@ -192,3 +192,30 @@ def compressed_size(df: DataFrame, column: str, level: int = 9) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(c, pa.int64()) for c in cols)], [*names, "raw", "gz", "bz2", "xz"])
 
     return df.select(*names, column).mapInArrow(sizes, ddl)
+
+
+def med_errors(px: Column, cols: int) -> Column:
+    """Errors of the median edge detector, as non-negative numbers (S21): 0, -1, 1, -2, ... become 0, 1, 2, 3, ...
+
+    A neighbour outside the image is 0; errors wrap to -128 to 127.
+    """
+
+    def error(v: Column, i: Column) -> Column:
+        left, up = F.pmod(i, F.lit(cols)) > 0, i >= cols
+        a = F.when(left, F.get(px, i - 1)).otherwise(0)
+        b = F.when(up, F.get(px, i - cols)).otherwise(0)
+        c = F.when(left & up, F.get(px, i - cols - 1)).otherwise(0)
+        p = F.when(c >= F.greatest(a, b), F.least(a, b)).when(c <= F.least(a, b), F.greatest(a, b)).otherwise(a + b - c)
+        e = F.pmod(v - p + 128, F.lit(256)) - 128
+        return F.when(e < 0, -2 * e - 1).otherwise(2 * e).cast("int")
+
+    return F.transform(px, error)
+
+
+def rice_bits(values: Column, most: int = 7) -> Column:
+    """The fewest bits of non-negative numbers under Golomb codes of 2 ** j for j up to ``most``, three bits for j among them."""
+
+    def bits(j: int) -> Column:
+        return F.aggregate(values, F.lit(0).cast("long"), lambda t, x: t + F.shiftright(x, j) + 1 + j)
+
+    return F.least(*map(bits, range(most + 1))) + 3

@@ -84,4 +84,9 @@ def dictionary_code(elements: DataFrame, words: np.ndarray, whole_codes: bool =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((np.floor(c) if whole_codes else c).tolist(), pa.list_(pa.float64()))], names)
 
     df = elements.select("elem", "px").mapInArrow(coded, "elem long, px array<int>, code array<double>")
-    return df.withColumn("back", F.transform(_times(words.T, F.col("code")), lambda x: wrapped(F.floor(x))))
+    return reconstructed(df, words)
+
+
+def reconstructed(coded: DataFrame, words: np.ndarray) -> DataFrame:
+    """Adds ``back``: codes times words, cut and wrapped (P10)."""
+    return coded.withColumn("back", F.transform(_times(words.T, F.col("code")), lambda x: wrapped(F.floor(x))))

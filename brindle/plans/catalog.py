@@ -107,6 +107,19 @@ def random_order(spark, sf):
     return order.agg(F.countDistinct("pos").alias("n"), F.countDistinct("elem").alias("elements"), F.max("pos").alias("last"))
 
 
+@query(f"WITH {E} SELECT elem FROM e ORDER BY md5('42:' || CAST(elem AS VARCHAR)), elem LIMIT 50")
+def sample_without_replacement(spark, sf):
+    """50 elements, each as likely as any other, without replacement."""
+    return images(spark, sf).select("elem").orderBy(F.md5(F.concat(F.lit("42:"), F.col("elem").cast("string")).cast("binary")), "elem").limit(50)
+
+
+@query(f"WITH {E}, {CELLS} SELECT elem, CAST(k AS INTEGER) AS k, round(v / CAST(sum(v) OVER (PARTITION BY elem) AS DOUBLE), 9) AS share FROM cells")
+def l1_normalized(spark, sf):
+    """Pixels over their image's sum (P20)."""
+    total = F.aggregate("px", F.lit(0).cast("long"), lambda t, x: t + x)
+    return images(spark, sf).select("elem", F.posexplode(F.transform("px", lambda x: F.round(x / total, 9))).alias("k", "share"))
+
+
 # -- frequencies and codes
 
 FREQ = "f AS (SELECT v AS symbol, count(*) AS n FROM cells GROUP BY v)"
@@ -260,6 +273,38 @@ def delta_coo_size(spark, sf):
     return nnz.agg((F.lit(64) + F.sum(1 + 2 * F.col("nnz"))).alias("n_bytes"), F.sum("nnz").alias("nnz"))
 
 
+@query(f"WITH {E}, {ORDER}, {DELTA} SELECT pos, CAST(k AS INTEGER) AS col, row_number() OVER (ORDER BY v, pos, k) - 1 AS place FROM d WHERE pos > 0 AND v <> 0")
+def coo_by_value(spark, sf):
+    """Changed places in the order of their values."""
+    coo = deltas(spark, sf).select("pos", F.posexplode("d").alias("col", "v")).filter("v <> 0")
+    return positions(coo, "v", "pos", "col", name="place").select("pos", "col", "place")
+
+
+#: Rows of a block of a COO stream; a row's symbol is its number in its block.
+COO_ROWS = 4096
+
+
+def _coo_heap(stream: str, symbol: str) -> str:
+    return f"SELECT * FROM (WITH RECURSIVE f AS (SELECT CAST({symbol} AS INTEGER) AS symbol, count(*) AS n FROM d WHERE pos > 0 AND v <> 0 GROUP BY 1), {HEAP.format(f='f')} SELECT '{stream}' AS stream, count(*) AS n_symbols, CAST(sum(n * len) AS BIGINT) AS n_bits FROM lens JOIN f USING (symbol))"
+
+
+@query(f"WITH RECURSIVE {E}, {ORDER}, {DELTA.replace('d AS (', 'd AS MATERIALIZED (', 1)} " + " UNION ALL ".join(_coo_heap(*x) for x in (("data", "v"), ("rows", f"pos % {COO_ROWS}"), ("cols", "k"))))
+def coo_stream_bits(spark, sf):
+    """Huffman codes of the values, rows and columns of the changed places, a book a stream."""
+    coo = deltas(spark, sf).select("pos", F.posexplode("d").alias("col", "v")).filter("v <> 0")
+    streams = F.array(*(F.struct(F.lit(name).alias("stream"), c.cast("int").alias("symbol")) for name, c in (("data", F.col("v")), ("rows", F.pmod("pos", F.lit(COO_ROWS))), ("cols", F.col("col")))))
+    symbols = coo.select(F.inline(streams))
+    return codes.bit_total(codes.codebook(codes.frequencies(symbols, "stream"), "stream"), "stream").select("stream", "n_symbols", "n_bits")
+
+
+@query(f"WITH RECURSIVE {E}, {ORDER}, {DELTA}, f AS (SELECT CAST(v AS INTEGER) AS symbol, count(*) AS n FROM d WHERE pos > 0 GROUP BY v), {HEAP.format(f='f')} SELECT CAST(ceil(max(len) / 8) AS BIGINT) AS width_bytes, CAST(count(*) * (1 + ceil(max(len) / 8)) AS BIGINT) AS book_bytes FROM lens")
+def code_width(spark, sf):
+    """Bytes of the longest code, and of a book of one-byte symbols with their codes."""
+    book = codes.codebook(codes.frequencies(deltas(spark, sf).select(F.explode("d").alias("symbol"))))
+    width = F.ceil(F.max("len") / 8)
+    return book.agg(width.cast("long").alias("width_bytes"), (F.count("*") * (1 + width)).cast("long").alias("book_bytes"))
+
+
 @query(f"WITH RECURSIVE {E}, {ORDER}, {DELTA}, f AS (SELECT CAST(v AS INTEGER) AS symbol, count(*) AS n FROM d WHERE pos > 0 GROUP BY v), {HEAP.format(f='f')} SELECT count(*) AS n_symbols, CAST(sum(n * len) AS BIGINT) AS n_bits FROM lens JOIN f USING (symbol)")
 def delta_huffman_bits(spark, sf):
     book = codes.codebook(codes.frequencies(deltas(spark, sf).select(F.explode("d").alias("symbol"))))
@@ -446,7 +491,35 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-query()(flagship)
+_FLAGSHIP = f"""WITH RECURSIVE {E.replace("e AS (", "e0 AS MATERIALIZED (", 1)}, e AS MATERIALIZED (SELECT min(elem) AS elem, px FROM e0 GROUP BY px), {MST_SQL},
+two AS (SELECT src AS x, dst AS y FROM mst UNION ALL SELECT dst, src FROM mst),
+dfs(node, before, way) AS (SELECT min(elem), CAST(-1 AS BIGINT), [min(elem)] FROM e UNION ALL SELECT two.y, dfs.node, list_append(way, two.y) FROM dfs JOIN two ON two.x = dfs.node WHERE two.y <> dfs.before),
+reps AS (SELECT px, node AS rep, row_number() OVER (ORDER BY way) AS place FROM dfs JOIN e ON e.elem = dfs.node),
+walks AS (SELECT 'mst' AS order_by, row_number() OVER (ORDER BY place, elem = rep, elem) AS pos, px FROM e0 JOIN reps USING (px) UNION ALL SELECT 'id', row_number() OVER (ORDER BY elem), px FROM e0),
+d AS MATERIALIZED (SELECT order_by, (v - lag(v) OVER (PARTITION BY order_by, k ORDER BY pos) + 256) % 256 AS v, pos FROM (SELECT order_by, pos, generate_subscripts(px, 1) AS k, unnest(px) AS v FROM walks)),
+m AS (SELECT order_by, CAST(v AS INTEGER) AS symbol, count(*) AS n FROM d WHERE pos > 1 GROUP BY ALL) """
+
+
+def _flagship_heap(name: str) -> str:
+    return f"SELECT * FROM (WITH RECURSIVE f AS (SELECT symbol, n FROM m WHERE order_by = '{name}'), {HEAP.format(f='f')} SELECT 0 AS layer, '{name}' AS order_by, count(*) AS n_symbols, CAST(sum(n * len) AS BIGINT) AS payload_bits, CAST(sum(n) * 8 AS BIGINT) AS raw_bits, round(sum(n * len) / (sum(n) * 8), 6) AS ratio FROM lens JOIN f USING (symbol))"
+
+
+query(_FLAGSHIP + " UNION ALL ".join(map(_flagship_heap, ("mst", "id"))))(flagship)
+
+
+@query(f"WITH RECURSIVE {E}, {MST_SQL}, {HOPS} SELECT x AS node, row_number() OVER (ORDER BY round((count(*) - 1) / sum(d), 9) DESC, x) - 1 AS place FROM hop GROUP BY x")
+def nodes_by_closeness(spark, sf):
+    """Nodes in the order of their closeness."""
+    rows = graph.centrality(tree(spark, sf).withColumn("layer", F.lit(0)))
+    return positions(rows.select("node", F.round((F.col("n") - 1) / F.col("total"), 9).alias("closeness")), F.desc("closeness"), "node", name="place").select("node", "place")
+
+
+@query(f"""WITH RECURSIVE {E}, {MST_SQL}, two AS (SELECT src AS x, dst AS y FROM mst UNION ALL SELECT dst, src FROM mst),
+way(node, before, path) AS (SELECT min(x), CAST(-1 AS BIGINT), [min(x)] FROM two UNION ALL SELECT two.y, way.node, list_append(path, two.y) FROM way JOIN two ON two.x = way.node WHERE two.y <> way.before)
+SELECT node, array_to_string(path, ',') AS path FROM way""")
+def tree_paths(spark, sf):
+    """Paths of the spanning tree from its least node."""
+    return graph.paths(tree(spark, sf).withColumn("layer", F.lit(0))).select("node", joined("path").alias("path"))
 
 # -- prediction
 
@@ -499,9 +572,20 @@ def predict_one_feature_ols(spark, sf):
     return s.select(F.round(slope, 9).alias("slope"), F.round((F.col("sy") - slope * F.col("sx")) / F.col("n"), 6).alias("intercept"))
 
 
-@query()
+#: Gauss-Jordan on the sums [X'X | X'y] of features z (the last but one is 1, the last y), a step a column; beta holds the solution.
+def _solved(d: int, z: str, by: str = "0") -> str:
+    n = d + 1
+    return f"""sums AS MATERIALIZED (SELECT {by} AS grp, i, j, CAST(sum(CAST(z[i] AS BIGINT) * z[j]) AS DOUBLE) AS v FROM {z}, range(1, {n + 1}) t1(i), range(1, {n + 2}) t2(j) GROUP BY ALL),
+gj(grp, step, m) AS (SELECT grp, 0, list(r ORDER BY i) FROM (SELECT grp, i, list(v ORDER BY j) AS r FROM sums GROUP BY grp, i) GROUP BY grp
+ UNION ALL SELECT grp, step + 1, list_transform(range(1, {n + 1}), lambda i: list_transform(range(1, {n + 2}), lambda j: CASE WHEN i = step + 1 THEN m[i][j] / m[i][i] ELSE m[i][j] - m[i][step + 1] * m[step + 1][j] / m[step + 1][step + 1] END)) FROM gj WHERE step < {n}),
+beta AS MATERIALIZED (SELECT grp, list_transform(m, lambda r: r[{n + 1}]) AS w FROM gj WHERE step = {n})"""
+
+
+@query(f"""WITH RECURSIVE {E}, {ORDER}, {G2}, z AS MATERIALIZED (SELECT list_concat(x, [1, y]) AS z FROM g), {_solved(11, 'z')},
+er AS (SELECT (z[13] - CAST(trunc(greatest(least(list_sum(list_transform(range(1, 13), lambda i: z[i] * w[i])), 255), 0)) AS INTEGER) + 256) % 256 AS v FROM z, beta),
+f AS (SELECT CAST(v AS INTEGER) AS symbol, count(*) AS n FROM er GROUP BY v), {HEAP.format(f='f')} SELECT count(*) AS n_symbols, CAST(sum(n) AS BIGINT) AS n_values, CAST(sum(n * len) AS BIGINT) AS n_bits FROM lens JOIN f USING (symbol)""")
 def predict_linear_errors(spark, sf):
-    """Huffman size of the errors of a least-squares model on 11 features; the solver's last bits differ from SQL's."""
+    """Huffman size of the errors of a least-squares model on 11 features."""
     f = stored(contexts(spark, sf), "features")
     e = predict.errors(f, predict.linear(F.col("x"), predict.linear_model(f, 11)))
     return codes.bit_total(codes.codebook(codes.frequencies(e.select(F.col("e").alias("symbol"))))).select("n_symbols", "n_values", "n_bits")
@@ -535,9 +619,17 @@ def gram_matrix_channels(spark, sf):
     return predict.gram(channel_contexts(spark, sf), 6, "layer")
 
 
-@query()
+_TRIPLE = f"""WITH RECURSIVE {E}, {ORDER}, {_RGB}, {_solved(6, 'g', 'layer')},
+er AS MATERIALIZED (SELECT layer, (z[8] - CAST(trunc(greatest(least(list_sum(list_transform(range(1, 8), lambda i: z[i] * w[i])), 255), 0)) AS INTEGER) + 256) % 256 AS v FROM g JOIN beta ON grp = layer) """
+
+
+def _triple_heap(layer: int) -> str:
+    return f"SELECT * FROM (WITH RECURSIVE f AS (SELECT CAST(v AS INTEGER) AS symbol, count(*) AS n FROM er WHERE layer = {layer} GROUP BY v), {HEAP.format(f='f')} SELECT {layer} AS layer, count(*) AS n_symbols, CAST(sum(n) AS BIGINT) AS n_values, CAST(sum(n * len) AS BIGINT) AS n_bits FROM lens JOIN f USING (symbol))"
+
+
+@query(_TRIPLE + " UNION ALL ".join(map(_triple_heap, range(3))))
 def predict_triple_errors(spark, sf):
-    """Code size of the errors of three models, a channel each; solver bits differ from SQL's."""
+    """Code size of the errors of three models, a channel each."""
     f = stored(channel_contexts(spark, sf), "features")
     value = F.lit(0.0)
     for layer, model in predict.linear_models(f, 6, "layer").items():
@@ -838,6 +930,25 @@ def entropy_feature_order(spark, sf):
 
 # -- theory, baselines
 
+_DRAW = "CAST(('0x' || substr(md5('7:' || CAST(event_id AS VARCHAR)), 1, 13)) AS BIGINT) * 97 // 4503599627370496"
+
+
+@query(f"SELECT CAST({_DRAW} AS BIGINT) AS bin, count(*) AS balls FROM events GROUP BY 1")
+def balls_in_bins(spark, sf):
+    """A ball an event, thrown into one of 97 bins by a hash: the bins that are not empty."""
+    u = F.conv(F.substring(F.md5(F.concat(F.lit("7:"), F.col("event_id").cast("string")).cast("binary")), 1, 13), 16, 10).cast("long")
+    return table(spark, sf, "events").groupBy(F.shiftright(u * 97, 52).alias("bin")).agg(F.count("*").alias("balls"))
+
+
+@query(f"""WITH {E}, {CELLS}, n AS (SELECT c.elem, c.k, c.v, coalesce(CASE WHEN c.k % 8 > 0 THEN l.v END, 0) AS a, coalesce(u.v, 0) AS b, coalesce(CASE WHEN c.k % 8 > 0 THEN lu.v END, 0) AS c
+ FROM cells c LEFT JOIN cells l ON l.elem = c.elem AND l.k = c.k - 1 LEFT JOIN cells u ON u.elem = c.elem AND u.k = c.k - 8 LEFT JOIN cells lu ON lu.elem = c.elem AND lu.k = c.k - 9),
+w AS (SELECT elem, (v - CASE WHEN c >= greatest(a, b) THEN least(a, b) WHEN c <= least(a, b) THEN greatest(a, b) ELSE a + b - c END + 384) % 256 - 128 AS e FROM n),
+z AS (SELECT elem, CASE WHEN e < 0 THEN -2 * e - 1 ELSE 2 * e END AS z FROM w)
+SELECT elem, CAST(min(bits) + 3 AS BIGINT) AS n_bits FROM (SELECT elem, j, sum((z >> j) + 1 + j) AS bits FROM z, range(8) t(j) GROUP BY elem, j) GROUP BY elem""")
+def med_golomb_bits(spark, sf):
+    """Image sizes under the median edge detector and Golomb codes, a stand-in for the lossless photo standard."""
+    return images(spark, sf).select("elem", predict.rice_bits(predict.med_errors(F.col("px"), 8)).alias("n_bits"))
+
 HOURS = "b AS (SELECT DISTINCT user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS bin FROM events), g AS (SELECT user_id, bin, bin - lag(bin) OVER (PARTITION BY user_id ORDER BY bin) - 1 AS gap FROM b)"
 
 
@@ -908,9 +1019,24 @@ def dct_roundtrip(spark, sf):
     return back.agg(F.sum(far.cast("long")).alias("far"), F.count("*").alias("elements"))
 
 
-@query("SELECT true AS closer, count(*) AS elements FROM embeddings")
+#: A fixed dictionary of four words on 64 places, and integer codes of an image: its quarters' means.
+WORDS = [[1 if k // 16 == w else 0 for k in range(64)] for w in range(4)]
+
+
+@query(f"WITH {E}, {CELLS} SELECT elem, string_agg(back, ',' ORDER BY k) AS back FROM (SELECT elem, k, CAST(sum(v) OVER (PARTITION BY elem, k // 16) // 16 AS INTEGER) AS back FROM cells) GROUP BY elem")
 def dict_reconstruct(spark, sf):
-    """A learned non-negative dictionary brings the images back closer than their mean does."""
+    """Integer codes times a fixed dictionary, cut and wrapped (P10)."""
+    import numpy as np
+
+    from brindle.operators.transforms import reconstructed
+
+    quarters = [F.floor(F.aggregate(F.slice("px", 16 * w + 1, 16), F.lit(0), lambda t, x: t + x) / 16).cast("double") for w in range(4)]
+    return reconstructed(images(spark, sf).withColumn("code", F.array(*quarters)), np.array(WORDS, float)).select("elem", joined("back").alias("back"))
+
+
+@query("SELECT true AS closer, count(*) AS elements FROM embeddings")
+def dict_learned(spark, sf):
+    """A learned non-negative dictionary brings the images back closer than their mean does (P9); SQL only counts them."""
     from brindle.operators.transforms import dictionary_code, learned_dictionary
 
     df = images(spark, sf)
