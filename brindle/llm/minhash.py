@@ -332,9 +332,11 @@ class _Join:
         Fewer nodes than there are tasks have more than a task's share of the rows; these go to
         where the rows are, so that no task gets one node's rows.
         """
-        hot = F.broadcast(about.filter(F.col("n") > total / self.tasks))  # fewer rows than tasks
-        rest = rows.join(hot.select("path"), "path", "left_anti").join(about.filter(F.col("n") <= total / self.tasks), "path")
-        return rows.join(hot, "path").unionByName(rest)
+        hot = [r["path"] for r in about.filter(F.col("n") > total / self.tasks).select("path").collect()]  # fewer than tasks
+        if not hot:
+            return rows.join(about, "path")
+        here = F.col("path").isin(hot)
+        return rows.filter(here).join(F.broadcast(about.filter(here)), "path").unionByName(rows.filter(~here).join(about.filter(~here), "path"))
 
     def with_comp(self, df: DataFrame, node: str = "node", name: str = "comp") -> DataFrame:
         if self.comps is None:
@@ -349,7 +351,7 @@ class _Join:
         left = self.with_comp(self.with_comp(candidates, "a", "ca"), "b", "cb").filter("ca <> cb")
         # the best of each component by an aggregate, so that no component is gathered in one task
         both = left.select("a", "b", "alike", F.explode(F.array("ca", "cb")).alias("c"))
-        picked = both.groupBy("c").agg(F.max(F.struct("alike", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+        picked = stored(both.groupBy("c").agg(F.max(F.struct("alike", "a", "b")).alias("m")).select("m.a", "m.b").distinct(), "picked")
         self.link(self.confirm(picked))
 
     def link(self, edges: DataFrame) -> None:
@@ -363,7 +365,7 @@ class _Join:
 
     def settle(self, small: DataFrame) -> None:
         """Compares small nodes (path, node, comp, sketch) exhaustively: by sketch, then the documents that are left by their full sets."""
-        rows = self.near(small).join(self.sets, "node").select("path", "node", "comp", "s").repartition("path").sortWithinPartitions("path")
+        rows = stored(self.near(small), "near").join(self.sets, "node").select("path", "node", "comp", "s").repartition("path").sortWithinPartitions("path")
         self.link(rows.mapInArrow(releasing(_exact), "src long, dst long"))
 
     def gather_sets(self, wanted: DataFrame) -> None:
@@ -392,7 +394,9 @@ class _Join:
         self.sets = new
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
-        a, b = self.sets.toDF("a", "x"), self.sets.toDF("b", "y")
+        ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+        held = self.sets.join(ends, "node", "left_semi")  # few of all sets, where Spark can broadcast the ends
+        a, b = held.toDF("a", "x"), held.toDF("b", "y")
         return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(releasing(_confirmed), "src long, dst long")
 
     def run(self) -> None:
