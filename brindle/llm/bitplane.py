@@ -97,8 +97,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, block: in
     docs: has ``doc_id`` and ``text``; other columns are not read.  A null text counts
     as empty, so it has the end id alone.  Null doc_ids come first; rows of one doc_id
     are ordered by a hash of their text, and each is a document of its own.  Ranges of
-    (doc_id, hash) make the shards, so repeated doc_ids do not meet in one task.  An
-    empty table gives an empty chunk table.
+    (doc_id, hash, row) make the shards, so neither repeated doc_ids nor copies of one row
+    meet in one task.  An empty table gives an empty chunk table.
     """
     spark = docs.sparkSession
 
@@ -112,8 +112,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, block: in
         if out := [*shard.full(block), *shard.full(1)]:
             yield pa.RecordBatch.from_pylist(out, CHUNK)
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("text"))
-    ordered = ordered.repartitionByRange(parallelism(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ordered = ordered.repartitionByRange(parallelism(spark), "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").select("doc_id", "text")
     ordered.mapInArrow(encode, CHUNK_DDL).write.option("compression", "none").parquet(f"{path}/chunks")
     chunks = spark.read.schema(CHUNK_DDL).parquet(f"{path}/chunks").drop("planes")
     # one row a shard: as many as write tasks
@@ -181,17 +181,20 @@ def read_ids(spark: SparkSession, path: str, mode: str = "byte") -> DataFrame:
                 kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    @F.udf("long", useArrow=False)
-    def whole_crc(parts: list) -> int:
-        total = 0
-        for k, p in enumerate(sorted(parts)):
-            total = joined_crc(total, p["crc"], 4 * p["n"]) if k else p["crc"]
-        return total
+    def whole_crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            crc = []
+            for parts in batch.column(4).to_pylist():
+                total = 0
+                for k, p in enumerate(sorted(parts, key=lambda p: p["chunk"])):
+                    total = joined_crc(total, p["crc"], 4 * p["n"]) if k else p["crc"]
+                crc.append(total)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(crc, pa.int64())], ["shard", "doc_id", "at", "n", "crc"])
 
     chunks = spark.read.schema(CHUNK_DDL).parquet(f"{path}/chunks")
     found = stored(chunks.mapInArrow(pieces, PIECE_DDL), "pieces")
     parts = found.filter("NOT whole").groupBy("shard", "doc_no").agg(F.max("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n"), F.collect_list(F.struct("chunk", "crc", "n")).alias("p"))
-    docs = found.filter("whole").select("shard", "doc_id", "at", "n", "crc").unionByName(parts.withColumn("crc", whole_crc("p")).select("shard", "doc_id", "at", "n", "crc"))
+    docs = found.filter("whole").select("shard", "doc_id", "at", "n", "crc").unionByName(parts.select("shard", "doc_id", "at", "n", "p").mapInArrow(whole_crc, "shard int, doc_id long, at long, n long, crc long"))
     base = spark.read.parquet(f"{path}/index").groupBy("shard").agg(F.first("base").alias("base"))  # one row a shard
     return docs.join(F.broadcast(base), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 

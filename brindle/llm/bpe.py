@@ -12,7 +12,6 @@ tokens.  ``encode_documents`` gives ids, their digest and the decoded text's dig
 from __future__ import annotations
 
 import hashlib
-import json
 from array import array
 from collections.abc import Iterator
 
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.encoder import Generations, Inseparable, separable
+from brindle.llm.encoder import Generations, Inseparable, checked, separable
 from brindle.llm.workers import releasing
 
 #: The split pattern of byte-level BPE files; fixed by their format.
@@ -95,7 +94,7 @@ class Bpe:
     def __init__(self, path: str):
         import regex
 
-        spec = json.load(open(path, encoding="utf-8"))
+        spec = checked(path)
         vocab, alphabet = spec["model"]["vocab"], byte_alphabet()
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.ranks = {(vocab[a], vocab[b]): k for k, (a, b) in reversed([*enumerate(merges)])}

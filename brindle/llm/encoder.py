@@ -10,6 +10,7 @@ are encoded whole: there the cuts depend on what lies around.
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -22,6 +23,23 @@ SPACE = "\u0120"
 CACHE = 450_000
 
 
+def checked(path: str) -> dict:
+    """A tokenizer file, if it is byte-level BPE with the settings that this module and ``bpe`` are right for; others are refused."""
+    spec = json.load(open(path, encoding="utf-8"))
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [
+        *[f"model {model.get('type')!r}"] * (model.get("type") != "BPE"),
+        *["a normalizer"] * bool(spec.get("normalizer")),
+        *["a post-processor"] * bool(spec.get("post_processor")),
+        *[f"pre-tokenizer {cut.get('type')!r}"] * (cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True)),
+        *[k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)],
+        *[f"added token {t['content']!r} with {k}" for t in spec.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip", "normalized") if t.get(k)],
+    ]
+    if wrong:
+        raise ValueError(f"{path} is not a plain byte-level BPE file: it has {', '.join(wrong)}")
+    return spec
+
+
 class Inseparable(ValueError):
     """A piece begins with white space, so what lies before it matters."""
 
@@ -59,6 +77,7 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        checked(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()

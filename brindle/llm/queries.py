@@ -51,7 +51,8 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return template.read_back(template.format_conversations(turns.unionByName(own)))
+    # apart, so that a conversation of the table that has this number stays one of its own
+    return template.read_back(template.format_conversations(turns)).unionByName(template.read_back(template.format_conversations(own)))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,3 +60,16 @@ def test_odd_tables(spark, tmp_path):
     bitplane.write_ids(twice, str(tmp_path / "twice"), tokenizer_file(), 2)
     got = bitplane.read_ids(spark, str(tmp_path / "twice"))
     assert got.count() == 4 and got.agg(F.sum("n_tokens"), F.max(F.col("start") + F.col("n_tokens"))).first() == (9, 9)
+
+
+def test_copies_of_one_row_are_cut(spark, tmp_path):
+    rows = [(3, "one text of many copies")] * 4000 + [(1, "a"), (9, "b")]
+    path = str(tmp_path / "ids")
+    bitplane.write_ids(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path, tokenizer_file(), end_id=2, block=256)
+    chunks = spark.read.parquet(f"{path}/chunks")
+    per = {r["shard"]: r["n"] for r in chunks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()}
+    assert len(per) > 4 and max(per.values()) < 0.5 * sum(per.values())
+    got = bitplane.read_ids(spark, path).collect()
+    starts = sorted((r["start"], r["n_tokens"]) for r in got)
+    assert len(got) == 4002 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:])) and starts[0][0] == 0
+    assert len({r["ids_crc32"] for r in got}) == 3

@@ -1,7 +1,9 @@
 import hashlib
+import json
 import random
 
 import numpy as np
+import pytest
 
 from brindle.llm import bpe
 from brindle.llm.queries import tokenizer_file
@@ -58,3 +60,24 @@ def test_documents(spark):
     got = bpe.encode_documents(df, tokenizer_file())
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert bpe.encode_documents(df.limit(0), tokenizer_file(), ids=True).count() == 0
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"model.ignore_merges": True}, {"model.dropout": 0.1}, {"pre_tokenizer.add_prefix_space": True}, {"pre_tokenizer": None}, {"added": "lstrip"}])
+def test_other_files_are_refused(tmp_path, change):
+    from brindle.llm import encoder
+
+    spec = json.load(open(tokenizer_file(), encoding="utf-8"))
+    ((key, value),) = change.items()
+    if key == "added":
+        spec["added_tokens"][0][value] = True
+    else:
+        at, *rest = key.split(".")
+        if rest:
+            spec[at][rest[0]] = value
+        else:
+            spec[at] = value
+    path = str(tmp_path / "t.json")
+    json.dump(spec, open(path, "w"))
+    for make in (bpe.Bpe, encoder.PieceEncoder):
+        with pytest.raises(ValueError, match="not a plain byte-level BPE file"):
+            make(path)

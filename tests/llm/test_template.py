@@ -67,3 +67,12 @@ def test_conversations(spark):
     got = T.read_back(T.format_conversations(df)).collect()
     assert sorted((tuple(r)[:5] for r in got), key=str) == brute(rows)
     assert T.format_conversations(df.limit(0)).count() == 0
+
+
+def test_the_query_keeps_its_own_conversation_apart(spark, tmp_path):
+    from brindle.llm.queries import op4_chat
+
+    rows = [(-1, 0, "user", "mine"), (5, 0, "user", "hi"), (5, 1, "assistant", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted((r["conv_id"], r["n_turns"], r["loss_chars"]) for r in op4_chat(spark, str(tmp_path)).collect())
+    assert got == [(-1, 1, 0), (-1, 2, 21), (5, 2, 0)]
