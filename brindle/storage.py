@@ -38,6 +38,8 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the cluster's machines share")
         root = "file://" + tempfile.mkdtemp(prefix="brindle-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
