@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.components import connected_components
+from brindle.operators.order import positions
 from brindle.storage import stored
 
 #: Elements of a block of the matrix of distances.
@@ -24,6 +25,8 @@ BLOCK = 2048
 #: Edges that one task may finish alone.
 LAST = 200_000
 ROUNDS = 60
+#: Edges of a tree that one task may order.
+ALONE = 2_000_000
 
 
 def _tile(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -238,18 +241,89 @@ def diameter_order(tree: list[tuple[int, int]]) -> list[int]:
             path.append(x)
             x = parent[x]
         out += path
-        on = set(path)
-        rest, parts = reached - on, []
-        while rest:
-            _, inside = farthest(near, min(rest), rest)
-            parts.append(set(inside))
-            rest -= set(inside)
+        rest, parts = reached - set(path), []
+        for x in path:  # every subtree hangs on the path
+            for y in near[x]:
+                if y in rest:
+                    part, more = {y}, [y]
+                    while more:
+                        more = [z for v in more for z in near[v] if z in rest and z not in part and not part.add(z)]
+                    parts.append(part)
+                    rest -= part
         todo += [left - reached, *reversed(sorted(parts, key=min))]
     return out
 
 
-def ordered_by_tree(tree: DataFrame, how: str = "depth_first") -> DataFrame:
-    """``layer, pos, elem, parent`` of each layer's tree (a layer's tree has one task; layers run side by side)."""
+def _to_end(links: DataFrame) -> DataFrame:
+    """``id, far``: how many links lie between an item and the end of its list.  links: ``id, next`` (null at an end).
+
+    Every round doubles how far a link reaches, so rounds are logarithmic in the longest list.
+    """
+    d = stored(links.select("id", "next", F.col("next").isNotNull().cast("long").alias("far")), "links")
+    for _ in range(64):
+        if d.filter("next IS NOT NULL").isEmpty():
+            return d.select("id", "far")
+        ahead = d.select(F.col("id").alias("next"), F.col("next").alias("after"), F.col("far").alias("more"))
+        d = stored(d.join(ahead, "next", "left").select("id", F.col("after").alias("next"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far")), "links")
+    raise RuntimeError("lists do not end")
+
+
+def _tour(arcs: DataFrame, order: list, root: DataFrame) -> DataFrame:
+    """``layer, src, dst, at``: the places of a tree's arcs, both ways of each edge, in a tour from its root.
+
+    At each node the tour goes on from one neighbour to the next in the given order, and from
+    the last to the first; it begins and ends at the root (``layer, root, elem``; a row a node).
+    """
+    at = Window.partitionBy("layer", "src").orderBy(*order)
+    rows = positions(arcs.withColumns({"k": F.row_number().over(at), "n": F.count("*").over(Window.partitionBy("layer", "src"))}), "layer", "src", "k", name="id")
+    rows = stored(rows, "arcs")
+    # after u -> v comes v -> w, w next to u at v
+    back = rows.select("layer", F.col("src").alias("v"), F.col("dst").alias("u"), (F.col("k") % F.col("n") + 1).alias("k"))
+    goes = rows.select("layer", F.col("src").alias("v"), "k", F.col("id").alias("next"), F.col("k").alias("place"))
+    follow = back.join(goes, ["layer", "v", "k"]).select("layer", F.col("u").alias("src"), F.col("v").alias("dst"), "next", "place")
+    here = rows.select("layer", "src", "dst", "id").join(follow, ["layer", "src", "dst"]).join(root.select("layer", F.col("elem").alias("dst"), (F.col("root") == F.col("elem")).alias("top")), ["layer", "dst"])
+    links = stored(here.select("layer", "src", "dst", "id", F.when(~(F.col("top") & (F.col("place") == 1)), F.col("next")).alias("next")), "follow")
+    return links.drop("next").join(_to_end(links), "id").select("layer", "src", "dst", (-F.col("far")).alias("at"))
+
+
+def toured(tree: DataFrame) -> DataFrame:
+    """``layer, pos, elem, parent`` in depth-first order, children ascending, of trees that no task could hold.
+
+    A tour finds each node's parent; a second one, which takes the children in order and the
+    parent last, has its nodes in the order of their first visit.  Both are lists, whose places
+    come in a logarithmic number of joins.
+    """
+    edges = stored(tree.select("layer", "src", "dst"), "tree")
+    nodes = positions(edges.select("layer", F.explode(F.array("src", "dst")).alias("elem")).distinct(), "layer", "elem", name="id")
+    nodes = stored(nodes, "nodes")
+    number = lambda c: nodes.select("layer", F.col("elem").alias(c), F.col("id").alias(f"{c}_id"))
+    found = connected_components(edges.join(number("src"), ["layer", "src"]).join(number("dst"), ["layer", "dst"]).select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")))
+    first = nodes.select(F.col("id").alias("label"), F.col("elem").alias("root"))
+    root = stored(nodes.join(found.withColumnRenamed("node", "id"), "id").join(first, "label").select("layer", "root", "elem"), "roots")
+    arcs = stored(edges.unionByName(edges.select("layer", F.col("dst").alias("src"), F.col("src").alias("dst"))), "both")
+    one = stored(_tour(arcs, ["dst"], root), "tour")
+    other = one.select("layer", F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("at").alias("back"))
+    down = one.join(other, ["layer", "src", "dst"])
+    arcs = stored(down.select("layer", "src", "dst", (F.col("at") > F.col("back")).alias("up")), "directed")
+    two = _tour(arcs, ["up", "dst"], root).join(arcs.filter("NOT up").drop("up"), ["layer", "src", "dst"])
+    visits = two.select("layer", F.col("dst").alias("elem"), F.col("src").alias("parent"), "at").join(root, ["layer", "elem"])
+    visits = visits.unionByName(root.filter("root = elem").select("layer", "elem", F.lit(None).cast("long").alias("parent"), F.lit(-(1 << 62)).alias("at"), "root"))
+    numbered = positions(visits, "layer", "root", "at", name="all")
+    before = numbered.groupBy("layer").agg(F.min("all").alias("first"))
+    return numbered.join(F.broadcast(before), "layer").select("layer", (F.col("all") - F.col("first")).alias("pos"), "elem", "parent")
+
+
+def ordered_by_tree(tree: DataFrame, how: str = "depth_first", alone: int = ALONE) -> DataFrame:
+    """``layer, pos, elem, parent`` of each layer's tree.
+
+    Trees of at most ``alone`` edges have a task each, and layers run side by side; larger ones
+    are toured by joins.  The diameter order is only for the former.
+    """
+    largest = tree.groupBy("layer").count().agg(F.max("count")).first()[0] or 0
+    if largest > alone:
+        if how != "depth_first":
+            raise ValueError(f"the {how} order is for trees of at most {alone} edges")
+        return toured(tree)
 
     def order(g: pd.DataFrame) -> pd.DataFrame:
         pairs = list(zip(g["src"].tolist(), g["dst"].tolist(), strict=True))
@@ -286,8 +360,6 @@ def padded(order: DataFrame, elements: DataFrame) -> DataFrame:
 
     order: ``layer, pos, elem`` of the representatives (least id of equal elements).
     """
-    from brindle.operators.order import positions
-
     least = elements.groupBy("layer", "px").agg(F.min("elem").alias("rep"))
     rows = elements.select("layer", "elem", "px").join(least, ["layer", "px"]).join(order.select("layer", F.col("elem").alias("rep"), F.col("pos").alias("at")), ["layer", "rep"])
     numbered = positions(rows.select("layer", "at", (F.col("elem") == F.col("rep")).alias("own"), "elem"), "layer", "at", "own", "elem", name="all")

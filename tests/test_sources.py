@@ -108,3 +108,24 @@ def test_stream(spark, tmp_path):
     q = windowed_frequencies(stream, "event_type", "ts").writeStream.format("memory").queryName("freqs").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(60)
     assert spark.sql("SELECT sum(n) FROM freqs").first()[0] == events.count()
+
+
+def test_toured_order_is_depth_first(spark):
+    r = np.random.default_rng(4)
+    edges, want = [], []
+    for layer, n in ((0, 40), (1, 2), (3, 25)):
+        names = [int(x) for x in r.permutation(1000)[: n + 8]]
+        own = [(names[k], names[int(r.integers(0, k))]) for k in range(1, n)]
+        own += [(names[n + k], names[n + k - 1]) for k in range(1, 8)] if layer == 3 else []  # a second tree
+        edges += [(layer, a, b) for a, b in own]
+        want += [(layer, k, x, p) for k, (x, p) in enumerate(graph.depth_first(own))]
+    tree = spark.createDataFrame(edges, "layer int, src long, dst long")
+    got = graph.ordered_by_tree(tree, alone=0).select("layer", "pos", "elem", "parent").collect()
+    assert sorted(tuple(x) for x in got) == sorted(want)
+    assert sorted(tuple(x) for x in graph.ordered_by_tree(tree).select("layer", "pos", "elem", "parent").collect()) == sorted(want)
+
+
+def test_diameter_order_of_a_star_is_fast():
+    star = [(0, k) for k in range(1, 20_000)]
+    order = graph.diameter_order(star)
+    assert sorted(order) == list(range(20_000)) and set(order[:3]) >= {0}
