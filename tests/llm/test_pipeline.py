@@ -1,5 +1,7 @@
 import zlib
 
+import duckdb
+
 import corpus_pipeline as P
 from brindle.llm import bpe, langid, mixing
 from brindle.llm.queries import table, tokenizer_file
@@ -24,7 +26,10 @@ def test_stages_like_brute_force(spark):
     assert {*kept} == want and second.columns == docs.columns
 
     third = P.mixture(spark, second, SF)
-    chosen = {r["doc_id"] for r in mixing.mix(second, budget=P.BUDGET).filter("sampled").collect()}
+    con = duckdb.connect()
+    con.register("documents", second.toArrow())
+    chosen = {i for (i,) in con.execute(f"SELECT doc_id FROM ({mixing.sql(budget=P.BUDGET)}) WHERE sampled").fetchall()}
+    assert 0.2 * len(kept) < len(chosen) < len(kept)
     assert {r["doc_id"] for r in third.collect()} == chosen and third.columns == docs.columns
 
     b = bpe.loaded(tokenizer_file())
@@ -41,4 +46,14 @@ def test_odd_rows(spark):
     assert sorted(map(str, (r["doc_id"] for r in P.near_duplicates(spark, stage, SF).collect()))) == ["1", "None"]
     for _, f in P.STAGES:
         assert f(spark, df.limit(0), SF).count() == 0
+
+
+def test_duplicates_go_by_row(spark):
+    text = "the cat and the dog of the house by the sea"
+    rows = [(1, text, "en", "a", 1), (2, text, "en", "a", 1), (2, "der hund und die katze im haus am see", "de", "b", 1), (1, text, "en", "b", 1)]
+    got = P.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()
+    assert sorted((r["doc_id"], r["lang"]) for r in got) == [(1, "en"), (2, "de")]
+
+
+def test_unknown_language():
     assert zlib.crc32(b"1") % 3 in (0, 1, 2) and langid.UNKNOWN == "und"
