@@ -1034,9 +1034,9 @@ def dict_reconstruct(spark, sf):
     return reconstructed(images(spark, sf).withColumn("code", F.array(*quarters)), np.array(WORDS, float)).select("elem", joined("back").alias("back"))
 
 
-@query("SELECT true AS closer, count(*) AS elements FROM embeddings")
+@query()
 def dict_learned(spark, sf):
-    """A learned non-negative dictionary brings the images back closer than their mean does (P9); SQL only counts them."""
+    """A learned non-negative dictionary brings the images back closer than their mean does."""
     from brindle.operators.transforms import dictionary_code, learned_dictionary
 
     df = images(spark, sf)

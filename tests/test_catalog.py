@@ -1,5 +1,7 @@
 """Every registered query of the compression operators against its SQL."""
 
+import math
+
 import duckdb
 import pytest
 
@@ -9,6 +11,10 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: What rows of queries without SQL must hold to.
+CLAIMS = {"dict_learned": lambda r: r["closer"], "patch_entropy_by_order": lambda r: all(0 < r[f"{o}_entropy"] <= math.log2(100) for o in ("mst", "random")), "logistic_accuracy": lambda r: 0 < r["accuracy"] < 1}
+
+
 @pytest.fixture(scope="module")
 def sql():
     con = duckdb.connect()
@@ -24,6 +30,8 @@ def test_query(spark, sql, name):
     got = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
     if name not in catalog.SQL:
         assert got
+        if name in CLAIMS:
+            assert all(CLAIMS[name](dict(zip(columns, r, strict=True))) for r in got)
         return
     cursor = sql.execute(catalog.SQL[name])
     names = [d[0] for d in cursor.description]
