@@ -53,6 +53,8 @@ SMALL = 256
 #: Sketch similarity (in 128ths) from which a pair is confirmed: 0.75 less four standard deviations.  All trees
 #: share the sketch, so a pair at exactly 0.75 is not confirmed with probability 7.5e-5, one at 0.8 with 3e-9.
 SKETCH = 77
+#: Narrow rows (a few longs each) that are broadcast at most; beyond it, both sides of a join are shuffled.
+LIGHT = 250_000
 #: Strays of a block, about, and members of a large node that they are compared with at once.
 STRAYS = 256
 
@@ -309,6 +311,11 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
 
+def light(df: DataFrame) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it has no more than ``LIGHT`` rows."""
+    return F.broadcast(df) if df.count() <= LIGHT else df
+
+
 class _Join:
     """The state of one run: documents of different sets (nodes), their sketches, components and links."""
 
@@ -365,12 +372,11 @@ class _Join:
 
     def settle(self, small: DataFrame) -> None:
         """Compares small nodes (path, node, comp, sketch) exhaustively: by sketch, then the documents that are left by their full sets."""
-        rows = stored(self.near(small), "near").join(self.sets, "node").select("path", "node", "comp", "s").repartition("path").sortWithinPartitions("path")
+        rows = self.sets.join(light(stored(self.near(small), "near")), "node").select("path", "node", "comp", "s").repartition("path").sortWithinPartitions("path")
         self.link(rows.mapInArrow(releasing(_exact), "src long, dst long"))
 
     def gather_sets(self, wanted: DataFrame) -> None:
         """Writes the full sets of documents (node)."""
-        # written, so that Spark knows its size and broadcasts it only if it is small
         wanted = stored(self.nodes.select("node", F.col("doc_id").alias("id"), F.col("h").alias("ih"), "key1").join(wanted.distinct(), "node"), "wanted")
 
         def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,7 +393,7 @@ class _Join:
                     yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(out, pa.binary())], ["node", "s"])
 
         # (doc_id, h) is one text, and one wanted row: rows multiply with nothing, however often a doc_id is there
-        texts = self.docs.join(wanted, (F.col("h") == F.col("ih")) & F.col("doc_id").eqNullSafe(F.col("id")))
+        texts = self.docs.join(light(wanted), (F.col("h") == F.col("ih")) & F.col("doc_id").eqNullSafe(F.col("id")))
         new = stored(texts.select("node", "key1", "text").mapInArrow(releasing(full), "node long, s binary"), "sets")
         if new.count() > wanted.count():  # rows of one doc_id and text
             new = stored(new.dropDuplicates(["node"]), "sets")
@@ -395,7 +401,7 @@ class _Join:
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-        held = self.sets.join(ends, "node", "left_semi")  # few of all sets, where Spark can broadcast the ends
+        held = self.sets.join(light(ends), "node", "left_semi")
         a, b = held.toDF("a", "x"), held.toDF("b", "y")
         return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(releasing(_confirmed), "src long, dst long")
 
