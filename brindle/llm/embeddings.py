@@ -229,3 +229,12 @@ def near_vectors(vectors: DataFrame, near: float = NEAR, tile: int = TILE) -> Da
     some = rows.filter("good").select("vec_id", "key1", "key2").join(of_key, ["key1", "key2"]).select("vec_id", "n_links", "component_id")
     none = rows.filter("NOT good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return some.unionByName(none).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def sql(near: float = NEAR) -> str:
+    """The same in SQL for a table of different vec_ids: all pairs of a label, and all that each vector reaches."""
+    return f"""WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE c >= {near!r} AND NOT isnan(c)),
+reach(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN l ON l.x = r.y),
+least AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.x = vec_id) AS n_links, least.y AS component_id, vec_id = least.y AS kept FROM embeddings JOIN least ON least.x = vec_id"""

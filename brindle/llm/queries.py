@@ -102,6 +102,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from brindle.llm import mixing
+    from brindle.llm import embeddings, mixing
 
-    return {"op2_mixing": mixing.sql()}
+    return {"op2_mixing": mixing.sql(), "op5_embeddings": embeddings.sql()}

@@ -83,3 +83,12 @@ def test_links_across_cells(spark):
         rows.append((len(rows), [float(np.float32(v)) for v in x], 0))
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
     assert found(df, tile=4) == brute(rows)
+
+
+def test_like_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.01/embeddings.parquet'")
+    want = con.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({embeddings.sql()})").fetchall()
+    assert found(table(spark, "/root/testdata/sf0.01", "embeddings")) == sorted(want, key=str)
