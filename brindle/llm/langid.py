@@ -29,7 +29,7 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Longest n-gram of the fallback.
 LONGEST = 5
 #: Labelled rows of a language that the model learns from at most (a bound of the fit).
-ROWS = 2000
+ROWS = 1000
 #: Scores of words a worker keeps.
 CACHE = 150_000
 UNKNOWN = "und"
