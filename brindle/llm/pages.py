@@ -22,7 +22,7 @@ from __future__ import annotations
 import html as _html
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Generator, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,12 @@ TASK = 8
 LEAST = 3
 #: Cells of a table of matches that is held whole; larger ones are halved, in linear memory.
 CELLS = 4096
-#: Pairs of unequal shapes of two child lists above which such children match by tag alone.
-PAIRS = 100_000
+#: Pairs of unequal shapes of two child lists that are weighed one by one and kept; more are weighed by rows, as exactly.
+PAIRS = 1000
+#: Weights that are kept; when there are more, pairs are weighed by rows until the next two lists.
+KEPT = 300_000
+#: Cells of a table of weights that is held at once.
+WEIGHTS = 1 << 20
 
 # Fixed values of HTML: elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -175,37 +179,114 @@ class Interned:
                 todo.pop()
                 continue
             x, y = _trimmed(self.of[pair[0]][1], self.of[pair[1]][1])[2:]
-            open_ = [q for q in self.unequal(x, y) if q not in self.weights]
+            open_ = [q for q in self.unequal(x, y) or () if q not in self.weights] if len(self.weights) < KEPT else ()
             if open_:
                 todo += open_
                 continue
             ends = sum(self.of[k][2] for k in self.of[pair[0]][1]) - sum(self.of[k][2] for k in x)
-            table = self.table(x, y)
-            self.weights[pair] = 1 + ends + int(_best((table[k] for k in x), len(y))[-1])
+            self.weights[pair] = 1 + ends + int(_best(self.rows(x, y), len(y))[-1])
             todo.pop()
         return self.weights[a, b]
 
-    def unequal(self, x: tuple[int, ...], y: tuple[int, ...]) -> list[tuple[int, int]]:
-        """Pairs of unequal shapes of one tag in two child lists; none where there are too many of them."""
+    def weigh(self, x: tuple[int, ...], y: tuple[int, ...]) -> None:
+        """Keeps the weights of the shapes in two child lists, if they are few."""
+        if len(self.weights) >= KEPT:
+            self.weights.clear()
+        for p, q in self.unequal(x, y) or ():
+            self.weight(p, q)
+
+    def unequal(self, x: Iterable[int], y: Iterable[int]) -> list[tuple[int, int]] | None:
+        """Pairs of unequal shapes of one tag in two child lists; None where there are too many to keep."""
         by_tag = defaultdict(set)
         for k in set(y):
             by_tag[self.of[k][0]].add(k)
         kinds = set(x)
         if sum(len(by_tag[self.of[k][0]]) for k in kinds) > PAIRS:
-            return []
+            return None
         return [(k, j) for k in kinds for j in by_tag[self.of[k][0]] if k != j]
 
-    def table(self, x: tuple[int, ...], y: tuple[int, ...]) -> dict[int, np.ndarray]:
-        """For each shape of x its weights against all of y: 0 for another tag, 1 where the pair was too many to weigh."""
+    def rows(self, x: tuple[int, ...], y: tuple[int, ...]) -> Iterator[np.ndarray]:
+        """Each item's weights against all of y (0 for another tag), for as many shapes at once as fit a table."""
         kinds, at = np.unique(np.array(y, np.int64), return_inverse=True)
-        out = {}
-        for k in set(x):
-            tag = self.of[k][0]
-            w = [0 if self.of[j][0] != tag else self.of[k][2] if j == k else self.weights.get((k, j), 1) for j in kinds.tolist()]
-            out[k] = np.array(w, np.int64)[at]
+        for some in _runs(x, max(1, WEIGHTS // max(1, len(kinds)))):
+            row = {k: n for n, k in enumerate(dict.fromkeys(some))}
+            table = self.table(list(row), kinds.tolist())
+            for k in some:
+                yield table[row[k]][at]
+
+    def table(self, a: list[int], b: list[int]) -> np.ndarray:
+        """Weights of all of a against all of b, different shapes each."""
+        pairs = self.unequal(a, b)
+        if pairs is None or any(p not in self.weights for p in pairs):
+            return self.dense(a, b)
+        row, column = ({k: n for n, k in enumerate(x)} for x in (a, b))
+        out = np.zeros((len(a), len(b)), np.int64)
+        for p, q in pairs:
+            out[row[p], column[q]] = self.weights[p, q]
+        for k in row.keys() & column.keys():
+            out[row[k], column[k]] = self.of[k][2]
+        return out
+
+    def dense(self, a: list[int], b: list[int]) -> np.ndarray:
+        """``table`` from tables of the children's weights; of those, one is held at a time, and a part of it where it is large."""
+        todo, got = [self._dense(a, b)], None
+        while todo:
+            try:
+                todo.append(self._dense(*todo[-1].send(got)))
+                got = None
+            except StopIteration as done:
+                todo.pop()
+                got = done.value
+        return got
+
+    def _dense(self, a: list[int], b: list[int]) -> Generator[tuple[list[int], list[int]], np.ndarray, np.ndarray]:
+        """Asks for the tables of children that it needs."""
+        out = np.zeros((len(a), len(b)), np.int64)
+        for tag in {self.of[k][0] for k in a} & {self.of[k][0] for k in b}:
+            mine = [n for n, k in enumerate(a) if self.of[k][0] == tag]
+            theirs = np.array([n for n, k in enumerate(b) if self.of[k][0] == tag])
+            below = sorted({c for n in theirs for c in self.of[b[n]][1]})
+            out[np.ix_(mine, theirs)] = 1
+            # the others by how many children they have; a place that a list does not reach points to a column of zeros
+            place, like = {c: n for n, c in enumerate(below)}, defaultdict(list)
+            for n in theirs.tolist():
+                if self.of[b[n]][1]:
+                    like[len(self.of[b[n]][1]).bit_length()].append(n)
+            lists = []
+            for ns in like.values():
+                at = np.full((len(ns), max(len(self.of[b[n]][1]) for n in ns)), len(below))
+                for r, n in enumerate(ns):
+                    at[r, : len(self.of[b[n]][1])] = [place[c] for c in self.of[b[n]][1]]
+                lists.append((np.array(ns), at))
+            each = max(1, WEIGHTS // max(1, len(below)))
+            owned = [(n, c) for n in mine for c in self.of[a[n]][1]] if below else []
+            now = best = None
+            for some in _runs(owned, each, lambda x: x[1]):
+                row = {c: r for r, c in enumerate(dict.fromkeys(c for _, c in some))}
+                weights = yield list(row), below
+                weights = np.hstack([weights, np.zeros((len(row), 1), np.int64)])
+                for n, c in some:
+                    if n != now:
+                        now, best = n, [np.zeros((len(ns), at.shape[1] + 1), np.int64) for ns, at in lists]
+                    for x, (ns, at) in zip(best, lists, strict=True):
+                        x[:, 1:] = np.maximum.accumulate(np.maximum(x[:, 1:], x[:, :-1] + weights[row[c]][at]), axis=1)
+                        out[n, ns] = 1 + x[:, -1]
         return out
 
 
+def _runs(items: Sequence, most: int, key: Callable | None = None) -> Iterator[Sequence]:
+    """Cuts items into runs with at most so many different keys each."""
+    began, seen = 0, set()
+    for n, x in enumerate(items):
+        k = key(x) if key else x
+        if k not in seen and len(seen) == most:
+            yield items[began:n]
+            began, seen = n, set()
+        seen.add(k)
+    if began < len(items):
+        yield items[began:]
+
+
 def _trimmed(x: tuple, y: tuple) -> tuple[int, int, tuple, tuple]:
     """How many first and last items are equal, and what is between them.  To match those with each other is best."""
     n = min(len(x), len(y))
@@ -285,19 +366,16 @@ def _aligned(a: list[Slot], b: list[Slot], names: Interned) -> list[tuple[Slot,
             continue
         if not a or not b:
             continue
-        for p, q in names.unequal(x, y):
-            names.weight(p, q)
-        table, said = names.table(x, y), np.array([s.text for s in b])
-        weights = lambda s, table=table, said=said: (table[s.shape] << 20) + (said == s.text) * (table[s.shape] > 0)
+        names.weigh(x, y)
         if len(a) > 1 and len(a) * len(b) > CELLS:
             m = len(a) // 2
-            low, high = _best(map(weights, a[:m]), len(b)), _best((weights(s)[::-1] for s in reversed(a[m:])), len(b))
+            low, high = _best(_worth(a[:m], b, names), len(b)), _best((w[::-1] for w in _worth(a[m:][::-1], b, names)), len(b))
             j = int((low + high[::-1]).argmax())
             todo += [(a[:m], b[:j]), (a[m:], b[j:])]
             continue
         best = np.zeros((len(a) + 1, len(b) + 1), np.int64)
-        for i, s in enumerate(a):
-            best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + weights(s)))
+        for i, w in enumerate(_worth(a, b, names)):
+            best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + w))
         i, j = len(a), len(b)
         while i and j:
             if best[i, j] == best[i - 1, j]:
@@ -310,6 +388,13 @@ def _aligned(a: list[Slot], b: list[Slot], names: Interned) -> list[tuple[Slot,
     return out
 
 
+def _worth(a: list[Slot], b: list[Slot], names: Interned) -> Iterator[np.ndarray]:
+    """Each slot's worth as a match of each of b: nodes that match below it, then equal texts."""
+    said = np.array([s.text for s in b])
+    for s, w in zip(a, names.rows(tuple(s.shape for s in a), tuple(s.shape for s in b)), strict=True):
+        yield (w << 20) + (said == s.text) * (w > 0)
+
+
 def match(a: list[Slot], b: list[Slot], names: Interned) -> tuple[int, list[tuple[Slot, Slot]]]:
     """Simple tree matching of two child lists: how many nodes match, and which."""
     out, todo = [], [(a, b)]

@@ -1,4 +1,5 @@
 import html
+import itertools
 import random
 import re
 import time
@@ -132,6 +133,36 @@ def test_matching_like_brute_force(monkeypatch, cells):
         assert all(p.tag == q.tag for p, q in pairs)
 
 
+@pytest.mark.parametrize("weights", [1, 7, 1 << 20])
+def test_weights_by_rows_like_brute_force(monkeypatch, weights):
+    monkeypatch.setattr(pages, "PAIRS", 0)
+    monkeypatch.setattr(pages, "WEIGHTS", weights)
+    test_matching_like_brute_force(monkeypatch, 4096)
+    test_matching_like_brute_force(monkeypatch, 1)
+
+
+def test_few_weights_are_kept(monkeypatch):
+    monkeypatch.setattr(pages, "KEPT", 3)
+    test_matching_like_brute_force(monkeypatch, 4096)
+
+
+def test_many_unequal_shapes_match_like_brute_force():
+    r = random.Random(8)
+    kinds = [*itertools.product(["div", "section", "ul", "blockquote", "table"], repeat=4)]
+    a, b = ([("div", [(t, []) for t in x]) for x in r.sample(kinds, 330)] for _ in range(2))
+    names = pages.Interned()
+    x, y = (pages.shape(pages.parse(written(t, r)), names) for t in (a, b))
+    assert len({s.shape for s in x} - {s.shape for s in y}) * len(y) > 50_000
+    size, pairs = pages.match(x, y, names)
+    assert size == brute(a, b) and len(names.weights) <= pages.KEPT
+
+
+def test_deep_trees_by_rows():
+    names = pages.Interned()
+    x, y = (pages.shape(pages.parse("<div>" * 3000 + k + "</div>" * 3000), names)[0].shape for k in ("<ul><li>a</ul><section><p>b</section>", "<section><p>c</section><dl><dt>d</dl>"))
+    assert names.dense([x], [y]).tolist() == [[names.weight(x, y)]] == [[3002]]
+
+
 def test_many_siblings():
     r = random.Random(6)
     rows = [[f"<div>row {k} of {p}</div>" if r.random() < 0.5 else f"<div><p>row {k} of {p}</p><section>x</section></div>" for k in range(20_000 - 100 * p)] for p in range(3)]
