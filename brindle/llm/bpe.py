@@ -3,7 +3,8 @@
 A word's symbols stand in a row; each place holds the rank of the pair that begins
 there.  A segment tree keeps, for every stretch of places, the least (rank, place);
 its root names the leftmost lowest-rank merge.  A merge changes three places, each
-in logarithmic time, until the root says that no pair can merge.
+in logarithmic time, until the root says that no pair can merge.  A node has up to
+``WIDE`` below it, so the tree of a usual word is its root alone.
 
 ``Bpe`` reads a byte-level BPE file: its merges, its byte alphabet and its special
 tokens.  ``encode_documents`` gives ids, their digest and the decoded text's digest.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import hashlib
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,9 +27,11 @@ from brindle.llm.workers import releasing
 #: The split pattern of byte-level BPE files; fixed by their format.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words, and pieces between spaces, in each of the two generations of their caches; workers live on from stage to stage.
-CACHE = 120_000
-#: No pair.
-NONE = 1 << 60
+CACHE = 240_000
+#: Places, or nodes, below a node of the tree, as a power of two.
+WIDE = 5
+#: The rank of no pair.
+NONE = 1 << 30
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -40,51 +44,42 @@ def byte_alphabet() -> dict[int, str]:
 def merge_all(symbols: list[int], ranks: dict[tuple[int, int], int], merged: list[int]) -> list[int]:
     """Merges symbols by rank until no pair is left.
 
-    ranks: pair to rank; merged: rank to the id that the pair becomes.  Keys are
-    rank * size + place, so the least key is the leftmost of the lowest rank.
+    ranks: pair to rank; merged: rank to the id that the pair becomes.  Keys are a
+    rank and, in their low bits, a place, so the least is the leftmost of the lowest rank.
     """
     n = len(symbols)
     if n < 2:
         return symbols
-    size = 1 << (n - 2).bit_length()
-    tree = [NONE] * (2 * size)
-    get = ranks.get
-    for i in range(n - 1):
-        r = get((symbols[i], symbols[i + 1]))
-        if r is not None:
-            tree[size + i] = r * size + i
-    for k in range(size - 1, 0, -1):
-        a, b = tree[2 * k], tree[2 * k + 1]
-        tree[k] = a if a < b else b
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    while (key := tree[1]) != NONE:
-        rank, i = divmod(key, size)
+    bits = (n - 2).bit_length()
+    none, places, get = NONE << bits, (1 << bits) - 1, ranks.get
+    keys = [get(p, NONE) << bits | i for i, p in enumerate(pairwise(symbols))]
+    tree = [keys]
+    while len(low := tree[-1]) > 1 << WIDE:
+        tree.append([min(low[k : k + (1 << WIDE)]) for k in range(0, len(low), 1 << WIDE)])
+    top = tree[-1]
+    after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+    while (key := min(top)) < none:
+        i = key & places
         j = after[i]  # the pair's second symbol goes
         after[i] = k = after[j]
-        symbols[i], symbols[j] = new, _ = merged[rank], -1
-        changed = {}
-        if j < n - 1:
-            changed[size + j] = NONE
+        symbols[i] = new = merged[key >> bits]
+        symbols[j] = -1
         if k < n:
             before[k] = i
-            r = get((new, symbols[k]))
-            changed[size + i] = NONE if r is None else r * size + i
+            keys[j] = none
+            keys[i] = get((new, symbols[k]), NONE) << bits | i
         else:
-            changed[size + i] = NONE
+            keys[i] = none
         if (h := before[i]) >= 0:
-            r = get((symbols[h], new))
-            changed[size + h] = NONE if r is None else r * size + h
-        for at, value in changed.items():
-            if tree[at] != value:
-                tree[at] = value
-                while at > 1:
-                    other = tree[at ^ 1]
-                    if other < value:
-                        value = other
-                    at >>= 1
-                    if tree[at] == value:
+            keys[h] = get((symbols[h], new), NONE) << bits | h
+        if top is not keys:
+            for at in (h, i, j) if h >= 0 else (i, j):
+                for low, high in pairwise(tree):
+                    at >>= WIDE
+                    least = min(low[at << WIDE : (at + 1) << WIDE], default=none)
+                    if at == len(high) or high[at] == least:
                         break
-                    tree[at] = value
+                    high[at] = least
     return [s for s in symbols if s >= 0]
 
 
@@ -116,7 +111,7 @@ class Bpe:
 
     def word(self, word: str) -> bytes:
         """Ids of one cut of the split pattern."""
-        return array("I", merge_all([self.byte_ids[b] for b in word.encode()], self.ranks, self.merged)).tobytes()
+        return array("I", merge_all([*map(self.byte_ids.__getitem__, word.encode())], self.ranks, self.merged)).tobytes()
 
     def run(self, text: str) -> bytes:
         """Ids of a text without special tokens."""

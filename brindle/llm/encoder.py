@@ -57,17 +57,22 @@ class Generations:
     def __init__(self, make: Callable[[list[str]], Iterable[bytes]], limit: int = CACHE):
         self.make, self.limit, self.new, self.old = make, limit, {}, {}
 
-    def look_up(self, keys: list[str]) -> Iterator[bytes]:
-        if missing := set(keys).difference(self.new):
+    def look_up(self, keys: list[str]) -> list[bytes]:
+        found = list(map(self.new.get, keys))
+        if missing := [n for n, x in enumerate(found) if x is None]:
             if len(self.new) >= self.limit:
-                self.old, self.new, missing = self.new, {}, set(keys)
-            if found := [k for k in missing if k in self.old]:
-                self.new.update((k, self.old[k]) for k in found)
-                missing.difference_update(found)
-            made = list(missing)
+                self.old, self.new = self.new, {}
+            made = []
+            for k in {keys[n] for n in missing}:
+                if (x := self.old.get(k)) is None:
+                    made.append(k)
+                else:
+                    self.new[k] = x
             if made:
                 self.new.update(zip(made, self.make(made), strict=True))
-        return map(self.new.__getitem__, keys)
+            for n in missing:
+                found[n] = self.new[keys[n]]
+        return found
 
 
 class PieceEncoder:

@@ -34,6 +34,19 @@ def test_merges_like_a_scan():
         assert bpe.merge_all(symbols, ranks, merged) == want
 
 
+@pytest.mark.parametrize("wide", [1, 2, 5])
+def test_trees_of_several_levels_merge_like_a_scan(monkeypatch, wide):
+    monkeypatch.setattr(bpe, "WIDE", wide)
+    test_merges_like_a_scan()
+
+
+def test_a_usual_word_is_one_node(monkeypatch):
+    b, asked = bpe.loaded(tokenizer_file()), []
+    monkeypatch.setattr(bpe, "min", lambda *a, **k: asked.append(1) or min(*a, **k), raising=False)
+    ids = b.word(" international")
+    assert 0 < len(asked) <= 1 + len(" international") - len(ids) // 4  # a look at the root for each merge, and a last one
+
+
 def test_equals_library():
     t, b = library(), bpe.loaded(tokenizer_file())
     for x in texts(1500):
