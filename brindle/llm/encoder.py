@@ -88,14 +88,15 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache = Generations(self._after_spaces, cache)
+        self.firsts = Generations(self._ids, cache // 8)
         vocab = self.tokenizer.get_vocab()
         self.begins = np.zeros(1 + max(vocab.values(), default=0), bool)
         self.begins[[i for s, i in vocab.items() if s[0] == SPACE]] = True
 
     def _after_spaces(self, pieces: list[str]) -> list[bytes]:
         """Encodes pieces in one text, a space before each; only an id that begins with a space begins a piece."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(separable(pieces))], add_special_tokens=False)[0].ids, "<u4")
-        raw, at = ids.tobytes(), (4 * np.flatnonzero(self.begins[ids])).tolist()
+        raw = self.whole(" " + " ".join(separable(pieces)))
+        at = (4 * np.flatnonzero(self.begins[np.frombuffer(raw, "<u4")])).tolist()
         return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -111,7 +112,7 @@ class PieceEncoder:
                 yield self.whole(text)
                 continue
             try:
-                yield self.whole(first) + b"".join(self.cache.look_up(rest.split(" ")))
+                yield self.firsts.look_up([first])[0] + b"".join(self.cache.look_up(rest.split(" ")))
             except Inseparable:
                 yield self.whole(text)
 

@@ -29,6 +29,19 @@ def test_pieces_equal_whole_texts():
     assert list(e.encode(texts)) == [e.whole(t) for t in texts]
 
 
+def test_first_words_are_encoded_once():
+    e, asked = PieceEncoder(tokenizer_file()), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, library=e.tokenizer, **k):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **k)
+
+    e.tokenizer = Counted()
+    a, b = e.encode(["the cat", "the cat"])
+    assert a == b and asked == ["the", " cat"]
+
+
 @pytest.mark.parametrize("mode", ["bit", "byte"])
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 1000])
 def test_planes_round_trip(mode, n):
